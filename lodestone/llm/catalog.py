@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from lodestone.llm import chat, media, packing, search
+from lodestone.llm import chat, media, packing, quality, search, sentencepiece_backend, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op3_sentencepiece": sentencepiece_backend.op3_sentencepiece,
+        "op4_subword_quality": quality.op4_subword_quality,
         "op5_telephony_audio": media.op5_telephony_audio,
         "op6_segment_topk": search.op6_segment_topk,
+        "op8_convolutional_toxicity": toxicity.op8_convolutional_toxicity,
         "op9_budgeted_windows": chat.op9_budgeted_windows,
     }
 

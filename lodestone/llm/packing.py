@@ -25,97 +25,78 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from lodestone.llm.units import UnitCache
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-_ODD = re.compile("[\x1c-\x1f\u03a3]|<\\|")
+#: Texts with one of these are encoded whole.
+_ODD = ("<|", "\u03a3", "\x1c", "\x1d", "\x1e", "\x1f")
+#: A point or comma that belongs to a longer run of signs; where there is none, each is a pre-token of its own.
+_RUN = re.compile(r"[.,](?<=[\W_][.,])(?<!\s[.,])\s")
 #: Runs of these at a word's end are one pre-token of their own.
 _TAIL = ".,!?;:%$&*#|()"
 
 
-class WordCache:
-    """Token ids of white-space delimited words, remembered as packed unsigned 32-bit integers.
+class WordIds(UnitCache):
+    """Ids of a vocabulary that lower-cases, drops white space and never joins across it.
 
-    The vocabulary lower-cases, drops white space and never joins across it, so the ids of a text are
-    those of its lower-case words in order.  A text where that may not hold is encoded whole: one that
-    isn't NFC, has a special token's opening, a letter whose lower case depends on its place, or a
-    control character that Python, but not the tokenizer, counts as white space.  The cache has two
-    generations of ``most`` words at most; words in use move to the young one, the old one is dropped.
+    The ids of a text are those of its lower-case words in order.  A text where that may not hold is
+    encoded whole: one that isn't NFC, has a special token's opening, a letter whose lower case depends
+    on its place, or a control character that Python, but not the tokenizer, counts as white space.
     """
 
-    _open: dict[str, WordCache] = {}
-
-    def __init__(self, path: str, most: int = 350_000) -> None:
-        from tokenizers import Tokenizer
-
-        self.tok, self.most, self.words, self.old = Tokenizer.from_file(path), most, {}, {}
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        self.tok = Tokenizer.from_file(path)
         spec = json.loads(self.tok.to_str())
         split = spec["pre_tokenizer"]["pretokenizers"][-1]
         spec |= {"normalizer": None, "pre_tokenizer": split, "added_tokens": []}
         self.plain = Tokenizer.from_str(json.dumps(spec))  # for words of lower-case letters alone
 
-    @classmethod
-    def of(cls, path: str) -> WordCache:
-        """One per process and vocabulary; Spark reuses its Python processes."""
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
+    def split(self, text: str) -> list[str] | None:
+        if any(c in text for c in _ODD) or not is_normalized("NFC", text):
+            return None
+        text = text.lower()
+        if not _RUN.search(text):
+            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n").replace(",\n", " ,\n")
+        return text.split()
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, tok, words: list[str]) -> None:
-        for a in range(0, len(words), 8192):
-            part = words[a : a + 8192]
-            e = tok.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(e.ids, dtype="<u4").tobytes()
-            at = (4 * np.searchsorted(np.asarray(e.word_ids, dtype=np.int64), np.arange(len(part) + 1))).tolist()
-            for w, x, y in zip(part, at, at[1:]):
-                self.words[w] = ids[x:y]
-
     def learn(self, new: set[str]) -> None:
-        known, joined, letters, others = self.words, [], set(), set()
+        known, joined, letters, others = self.units, [], [], []
         for w in new:
+            if w.isalpha() and (w.isascii() or max(w) < "\u0250"):
+                letters.append(w)
+                continue
             base = w.rstrip(_TAIL)
-            if base is not w and base != w:
+            if base and base != w:
                 joined.append((w, base, w[len(base) :]))
-                if joined[-1][2] not in known:
-                    others.add(joined[-1][2])
-                w = base
-            if w and w not in known:
-                (letters if w.isalpha() and max(w) < "\u0250" else others).add(w)
-        self._learn(self.plain, list(letters))
-        self._learn(self.tok, list(others))
-        known[""] = b""
+            else:
+                others.append(w)
+        for p in {p for _, *both in joined for p in both}:
+            if p not in known and p not in new:
+                (letters if p.isalpha() and max(p) < "\u0250" else others).append(p)
+        self.store(self.plain, letters)
+        self.store(self.tok, others)
         for w, base, tail in joined:
             known[w] = known[base] + known[tail]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.lower().split() if is_normalized("NFC", t) and not _ODD.search(t) else None for t in texts]
-        new = {w for s in split if s for w in s}
-        if len(self.words) > self.most:
-            self.old, self.words = self.words, {}
-        new.difference_update(self.words)
-        if kept := new & self.old.keys():
-            self.words.update((w, self.old[w]) for w in kept)
-            new -= kept
-        if new:
-            self.learn(new)
-        get = self.words.__getitem__
-        return [self.whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
-
 
 def _pieces(path: str, seq_len: int, end_id: int, with_ids: bool):
     end = struct.pack("<I", end_id)
     width = 4 * seq_len
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache.of(path)
+        cache = WordIds.of(path)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
                 out: list[list] = [[], [], [], [], [], []]
                 ids_of = cache.encode([t or "" for t in part.column(1).to_pylist()])
                 for doc, ids in zip(part.column(0).to_pylist(), ids_of):
