@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import chat, media, packing, quality, search, sentencepiece_backend, toxicity
+from lodestone.llm import chat, media, near_dedup, packing, quality, search, sentencepiece_backend, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_subword_quality": quality.op4_subword_quality,
         "op5_telephony_audio": media.op5_telephony_audio,
         "op6_segment_topk": search.op6_segment_topk,
+        "op7_chosen_path": near_dedup.op7_chosen_path,
         "op8_convolutional_toxicity": toxicity.op8_convolutional_toxicity,
         "op9_budgeted_windows": chat.op9_budgeted_windows,
     }

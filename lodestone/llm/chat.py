@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import by_key
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(re.escape(START) + r"((?:[^\n\\]|\\.)*)\n(.*?)" + re.escape(END), re.S)
@@ -106,25 +108,6 @@ _WINDOWS_ARROW = pa.schema([
 ])
 
 
-def by_key(batches: Iterable[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
-    """The rows of each key, from batches that are sorted by it."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        keys = batch.column(key).to_pylist()
-        cuts = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
-        if held and keys and held[-1].column(key)[held[-1].num_rows - 1].as_py() != keys[0]:
-            yield pa.Table.from_batches(held)
-            held = []
-        for a, b in zip([0, *cuts], [*cuts, len(keys)]):
-            if a:
-                yield pa.Table.from_batches(held)
-                held = []
-            if b > a:
-                held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _sorted(df: DataFrame) -> DataFrame:
     """Rows of a conversation together and in order; a sort spills, so no conversation is gathered in the JVM."""
     return df.repartition("conv_id").sortWithinPartitions("conv_id", *[c for c in df.columns if c != "conv_id"])

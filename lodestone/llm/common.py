@@ -57,3 +57,22 @@ def map_slices(fn: Callable[[pa.RecordBatch], pa.RecordBatch], sized_by: str, mo
                 yield fn(part)
 
     return run
+
+
+def by_key(batches: Iterable[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
+    """The rows of each key, from batches that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(key).to_pylist()
+        cuts = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+        if held and keys and held[-1].column(key)[held[-1].num_rows - 1].as_py() != keys[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip([0, *cuts], [*cuts, len(keys)]):
+            if a:
+                yield pa.Table.from_batches(held)
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
