@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.llm import chat, media, near_dedup, packing, quality, search, sentencepiece_backend, toxicity
+from lodestone.llm import chat, language, media, near_dedup, packing, quality, search, sentencepiece_backend, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_bayesian_language": language.op1_bayesian_language,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_sentencepiece": sentencepiece_backend.op3_sentencepiece,
         "op4_subword_quality": quality.op4_subword_quality,
