@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.llm import chat, language, media, near_dedup, packing, quality, search, sentencepiece_backend, toxicity
+import corpus_pipeline
+from lodestone.llm import chat, language, licenses, media, near_dedup, packing, quality, search, sentencepiece_backend, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +17,8 @@ def queries() -> dict:
         "op7_chosen_path": near_dedup.op7_chosen_path,
         "op8_convolutional_toxicity": toxicity.op8_convolutional_toxicity,
         "op9_budgeted_windows": chat.op9_budgeted_windows,
+        "op10_license_paragraphs": licenses.op10_license_paragraphs,
+        "pipeline": corpus_pipeline.run,
     }
 
 
