@@ -58,9 +58,15 @@ def key_rows(df: DataFrame, config: BlockingConfig) -> DataFrame:
         df, kinds = keys.phonetic_key_column(df, "norm_name_no_legal", "_phonetic", config.min_phonetic_len), [*kinds, "phonetic"]
     if config.enable_address:
         df, kinds = keys.address_key_column(df, "_address"), [*kinds, "address"]
-    tagged = [F.transform(F.coalesce(F.col(f"_{k}"), F.array().cast("array<string>")), lambda x, k=k: F.struct(F.lit(k).alias("strategy"), x.alias("key"))) for k in kinds]
+    none = F.array().cast("array<string>")
+
+    def tag(kind: str):
+        return F.transform(F.coalesce(f"_{kind}", none), lambda x: F.struct(F.lit(kind).alias("strategy"), x.alias("key")))
+
+    tagged = [tag(k) for k in kinds]
     country = F.col("country") if config.country_partition else F.lit("ALL")
-    rows = df.select("entity_id", country.alias("country"), F.explode(F.concat(*tagged)).alias("k")).select("entity_id", "country", "k.strategy", "k.key")
+    # An inner explode would let the optimiser push a filter on the array below the layers that make it, writing all of them out again.
+    rows = df.select("entity_id", country.alias("country"), F.explode_outer(F.concat(*tagged)).alias("k")).filter("k is not null").select("entity_id", "country", "k.strategy", "k.key")
     weight = F.expr("CASE strategy " + " ".join(f"WHEN '{k}' THEN {keys.weight(SPARK, 'key', WEIGHTS[k])}" for k in kinds) + " END")
     return rows.select(*KEY, weight.alias("weight"), "entity_id")
 

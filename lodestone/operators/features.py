@@ -56,9 +56,10 @@ class FeatureExtractor:
 
     def fit(self, names: DataFrame, col: str = "norm_name") -> FeatureExtractor:
         """``names``: a row a name; nulls are left out."""
-        rows = names.filter(F.col(col).isNotNull()).select(F.monotonically_increasing_id().alias("id"), F.col(col).alias("t"))
-        counts = tfidf.gram_counts(rows, "id", "t", self.ngram)
-        return replace(self, idf=tfidf.idf(counts, rows.count(), max_features=self.max_features))
+        # Nulls have no gram.  Filtering a computed name would have the optimiser write its whole rule program out below it.
+        counts = tfidf.gram_counts(names.select(F.monotonically_increasing_id().alias("id"), F.col(col).alias("t")), "id", "t", self.ngram)
+        n = names.agg(F.count(col)).first()[0]
+        return replace(self, idf=tfidf.idf(counts, n, max_features=self.max_features))
 
     def matrix(self, pairs: DataFrame, left: DataFrame, right: DataFrame, truth: DataFrame | None = None) -> DataFrame:
         """``PAIR``, ``FEATURES`` and, with ``truth``, ``label``; ``left`` and ``right`` are lookups."""

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lodestone.functions.dialect import SPARK
 
 # Patterns of noise in names.
-LEADING_LEGAL = r"(?i)^(?:pvt|private|llc|inc|corp|ltd|m/s|shri)\b"
-TRAILING_LEGAL = r"(?i)\b(?:llc|inc|corp|corporation|ltd|limited|llp|co)\.?$"
+LEADING_LEGAL = r"(?i)^(?:pvt|private|llc|inc|corp|ltd|m/s|shri)(?:[^\p{L}\p{N}_]|$)"
+TRAILING_LEGAL = r"(?i)(?:^|[^\p{L}\p{N}_])(?:llc|inc|corp|corporation|ltd|limited|llp|co)\.?$"
 PUNCTUATION_FIRST = r"^[\s<>\-+#*]+"
 NON_ASCII = r"[^\x00-\x7F]"
 

@@ -16,9 +16,9 @@ from lodestone.functions import text
 
 def gram_counts(df: DataFrame, id_col: str, text_col: str, n: int = 3) -> DataFrame:
     """(id, gram, tf)."""
-    words = df.select(F.col(id_col).alias("id"), F.explode(F.split(F.lower(F.trim(F.coalesce(text_col, F.lit("")))), r"\s+")).alias("w")).filter("w <> ''")
+    words = df.select(F.col(id_col).alias("id"), F.explode_outer(F.split(F.lower(F.trim(F.coalesce(text_col, F.lit("")))), r"\s+")).alias("w")).filter("w <> ''")
     padded = words.withColumn("w", F.concat(F.lit(" "), "w", F.lit(" ")))
-    grams = padded.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("w") - n + 1, F.lit(1))), lambda i: F.col("w").substr(i, F.lit(n)))).alias("gram"))
+    grams = padded.select("id", F.explode_outer(F.transform(F.sequence(F.lit(1), F.greatest(F.length("w") - n + 1, F.lit(1))), lambda i: F.col("w").substr(i, F.lit(n)))).alias("gram"))
     return grams.groupBy("id", "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
