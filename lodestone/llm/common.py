@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -30,6 +33,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle and checkpoint files of frames that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which a loop of small jobs gives it no reason to do.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the machine: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Python strings of an Arrow column; null is the empty text."""
     return ["" if t is None else t for t in column.to_pylist()]
@@ -55,6 +74,7 @@ def map_slices(fn: Callable[[pa.RecordBatch], pa.RecordBatch], sized_by: str, mo
         for batch in batches:
             for part in sliced(batch, sized_by, most):
                 yield fn(part)
+        release()
 
     return run
 

@@ -2,16 +2,17 @@
 
 1. Every text becomes the set of its word shingles (64-bit hashes).  Texts with equal sets are one class;
    each class has a signature of minwise tokens.
-2. Chosen paths: independent trees branch the classes by some of their minwise tokens.  Classes that chose
-   the same token meet in a node.  A node of at most ``leaf`` classes is compared exhaustively on signatures.
+2. Chosen paths: independent trees branch the classes by some of their minwise tokens, two tokens a step, so
+   that a shared line alone seldom brings texts together.  Classes that chose the same tokens meet in a node.
+   A node of at most ``leaf`` classes is compared exhaustively on signatures.
    In a larger node every class is held against a pivot: those alike enough are tied to it, the closest
    of them leave, all others branch on by further tokens.  By the triangle inequality of the Jaccard
    distance, a class that leaves has its links among classes tied to the same pivot.  After the last level
    all of a node is tied together.  So each link lies, but for chance far below one in a million, inside a
    connected group of ties, and ties grow with the classes, not with their pairs.
 3. Links are confirmed on full sets inside each group: small groups in one task, breadth first over an
-   inverted index; large ones in blocks against pivots, then everything outside the largest
-   component found so far against all blocks, so that each pair is either compared or already connected.
+   inverted index; large ones in blocks against pivots, then everything that isn't connected over the pivot of most links
+   against all blocks, so that each pair is either compared or already connected.
 4. Connected components of the confirmed links; the smallest id of each stays.
 
 Null and empty texts have an empty set and are linked with nothing; texts of fewer words than a shingle
@@ -30,27 +31,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import by_key, cut, map_slices, sliced
+from lodestone.llm.common import by_key, cut, map_slices, sliced, tidy
 from lodestone.llm.graph import components
 from lodestone.llm.hashing import SPACE, Buffer, mixed
 
 
 @dataclass(frozen=True)
 class Params:
-    """Shingle length, similarity in hundredths, signature length, trees, branches a node, leaf size, levels, group size."""
+    """Shingle length, similarity in hundredths, signature length, trees, branches of a root and of a node, leaf size, levels, group size.
+
+    Two classes at the threshold share a path of two tokens with probability 0.72, so one of 16 root
+    branches in all but 2 of 10^9 cases, and one of 2 further branches in 92 of 100.
+    """
 
     words: int = 5
     percent: int = 85
     tokens: int = 64
     trees: int = 4
-    branches: int = 3
-    leaf: int = 96
+    roots: int = 4
+    branches: int = 2
+    leaf: int = 192
     levels: int = 6
     group: int = 256
     pivots: int = 32
     tie: float = 0.6  # least share of equal tokens at which two classes of a leaf are tied
-    attach: float = 0.3  # ... at which a class of a large node is tied to the pivot
-    leave: float = 0.8  # ... from which on it needn't branch on
+    attach: float = 0.4  # ... at which a class of a large node is tied to the pivot
+    leave: float = 0.7  # ... from which on it needn't branch on
 
 
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,7 +78,7 @@ def shingle_sets(texts: list[str], n: int = 5) -> list[np.ndarray]:
         if y - x >= n:
             own = np.unique(s[x : y - n + 1])
         elif y > x:
-            own = mixed((h[x:y] * _ODD[: y - x]).sum(dtype=np.uint64) + _ODD[100 + y - x])[None]
+            own = mixed((h[x:y] * _ODD[: y - x]).sum(dtype=np.uint64, keepdims=True) + _ODD[100 + y - x])
         else:
             own = np.empty(0, dtype=np.uint64)
         out.append(own)
@@ -120,7 +126,7 @@ def _forest(alike: np.ndarray) -> np.ndarray:
 
 
 def _large(p: Params, last: bool):
-    """Rows of large nodes (node, rep, sig, pivot, pivot's sig): ties (kind 0: pivot, rep) and branches (kind 1: node, rep)."""
+    """Rows of large nodes (node, rep, sig, pivot, pivot's sig): ties (kind 0: pivot, rep) and branches (kind 1: node, rep, sig)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,18 +135,17 @@ def _large(p: Params, last: bool):
             node, rep, pivot = (batch.column(c).to_numpy() for c in (0, 1, 3))
             sig = _sigs(batch.column(2), p.tokens)
             share = (sig == _sigs(batch.column(4), p.tokens)).mean(axis=1)
-            tied = np.ones(len(rep), dtype=bool) if last else share >= p.attach
-            kinds, a, b = [np.zeros(tied.sum(), dtype=np.int32)], [pivot[tied]], [rep[tied]]
-            on = np.flatnonzero(share < p.leave) if not last else np.empty(0, dtype=int)
-            key = node.view(np.uint64)[on]
+            tied = np.flatnonzero(share >= (0 if last else p.attach))
+            yield pa.record_batch([pa.array(np.zeros(len(tied), dtype=np.int32)), pa.array(pivot[tied]), pa.array(rep[tied]), pa.nulls(len(tied), pa.binary())], names=["kind", "a", "b", "sig"])
+            on = np.flatnonzero(share < (0 if last else p.leave))
+            key, own = node.view(np.uint64)[on], batch.column(2).take(pa.array(on))
             for j in range(p.branches):
                 at = mixed(key * _ODD[110] + np.uint64(j))
-                coord = (at % np.uint64(p.tokens)).astype(np.int64)
-                child = mixed(at * _ODD[111] + sig[on, coord].astype(np.uint64) * _ODD[112])
-                kinds.append(np.ones(len(on), dtype=np.int32))
-                a.append(child.view(np.int64))
-                b.append(rep[on])
-            yield pa.record_batch([pa.array(np.concatenate(x)) for x in (kinds, a, b)], names=["kind", "a", "b"])
+                child = at * _ODD[111]
+                for k in (0, 1):
+                    coord = ((at >> np.uint64(16 * k)) % np.uint64(p.tokens)).astype(np.int64)
+                    child = mixed(child + sig[on, coord].astype(np.uint64) * _ODD[112 + k])
+                yield pa.record_batch([pa.array(np.ones(len(on), dtype=np.int32)), pa.array(child.view(np.int64)), pa.array(rep[on]), own], names=["kind", "a", "b", "sig"])
 
     return run
 
@@ -169,28 +174,32 @@ def _leaves(p: Params):
 
 def ties(classes: DataFrame, p: Params) -> DataFrame:
     """Edges (a, b) whose connected groups hold every link between ``classes`` (rep, n, sig)."""
-    spark = classes.sparkSession
     place = lambda c: F.substring("sig", 4 * c + 1, 4)
-    roots = [F.xxhash64(F.lit(t), F.lit(c), place(c)) for t in range(p.trees) for c in [(t * p.branches + j) % p.tokens for j in range(p.branches)]]
+    roots = [F.xxhash64(F.lit(k), place(2 * k % p.tokens), place((2 * k + 1) % p.tokens)) for k in range(p.trees * p.roots)]
+    count = F.count(F.lit(1)).alias("size")
     nodes = classes.select(F.explode(F.array(*roots)).alias("node"), "rep")
-    found, leaves = [], []
+    met = cut(nodes.join(nodes.groupBy("node").agg(count).filter("size > 1"), "node"))
+    leaves, found = [met.filter(F.col("size") <= p.leaf).select("node", "rep")], []
+    # Signatures travel with the rows of large nodes alone.
+    rows = met.filter(F.col("size") > p.leaf).select("node", "rep").join(classes.select("rep", "sig"), "rep").select("node", "rep", "sig")
     for level in range(p.levels):
-        size = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("node", "rep").alias("h"), "rep"))["rep"].alias("pivot")).filter("size > 1")
-        met = cut(nodes.join(size, "node"))
+        pivot = F.min(F.struct(F.xxhash64("node", "rep").alias("h"), F.col("rep").alias("pivot"), F.col("sig").alias("pivot_sig"))).alias("m")
+        size = rows.groupBy("node").agg(count, pivot).filter("size > 1").select("node", "size", "m.pivot", "m.pivot_sig")
+        met = cut(rows.join(size, "node"))
         leaves.append(met.filter(F.col("size") <= p.leaf).select("node", "rep"))
-        large = met.filter(F.col("size") > p.leaf)
+        large = met.filter(F.col("size") > p.leaf).select("node", "rep", "sig", "pivot", "pivot_sig")
         if large.isEmpty():
             break
-        pivots = large.select("node", "pivot").distinct().join(classes.select(F.col("rep").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
-        rows = large.drop("pivot").join(classes.select("rep", "sig"), "rep").join(pivots, "node").select("node", "rep", "sig", "pivot", "pivot_sig")
-        out = cut(rows.mapInArrow(_large(p, level == p.levels - 1), "kind int, a long, b long"))
+        out = cut(large.mapInArrow(_large(p, level == p.levels - 1), "kind int, a long, b long, sig binary"))
         found.append(out.filter("kind = 0").select("a", "b"))
-        nodes = out.filter("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("rep"))
-    rows = leaves[0]
+        rows = out.filter("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("rep"), "sig")
+        del size, met, large, out
+        tidy(classes.sparkSession)
+    members = leaves[0]
     for x in leaves[1:]:
-        rows = rows.unionByName(x)
+        members = members.unionByName(x)
     # Most leaves repeat the members of another tree's leaf: each list is compared once.
-    lists = rows.groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("m")).filter(F.size("m") > 1).select("m").distinct()
+    lists = members.groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("m")).filter(F.size("m") > 1).select("m").distinct()
     dealt = lists.select(F.xxhash64("m").alias("key"), F.explode("m").alias("rep")).join(classes, "rep").select("key", "rep", "n", "sig")
     out = dealt.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_leaves(p), "a long, b long")
     for x in found:
@@ -277,12 +286,15 @@ def _large_groups(members: DataFrame, p: Params) -> DataFrame:
 
     # The hash decides who is a pivot: about p.pivots of each group, chosen without gathering it.
     share = (F.xxhash64(F.lit("pivot"), "rep").cast("double") / 2.0**64 + 0.5) * F.col("size")
+    pivots = members.filter(share < p.pivots).select("grp", F.col("rep").alias("a"))
     first = links(members.filter(share < p.pivots))
-    label = components(first)
-    of = cut(members.select("grp", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("grp", "rep", F.coalesce("component", "rep").alias("component")))
-    count = of.groupBy("grp", "component").count()
-    main = count.groupBy("grp").agg(F.max(F.struct("count", "component"))["component"].alias("main"))
-    outside = of.join(main, "grp").filter("component <> main").select("rep")
+    # The pivot of most links, the pivots linked with it, and all that is linked with any of these are one component.
+    by_pivot = first.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(pivots, "a")
+    best = by_pivot.groupBy("grp").agg(F.max(F.struct("n", "a"))["a"].alias("a")).select("a")
+    near = first.join(best, "a", "left_semi").select(F.col("b").alias("a")).join(pivots.select("a"), "a", "left_semi").unionByName(best).distinct()
+    main = first.join(near, "a", "left_semi").select(F.col("b").alias("rep")).unionByName(near.select(F.col("a").alias("rep"))).distinct()
+    outside = cut(members.select("rep").join(main, "rep", "left_anti"))
+    tidy(members.sparkSession)
     rest = links(members.join(outside, "rep", "left_semi"))
     return components(first.unionByName(rest))
 
@@ -302,6 +314,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, p: Params, id_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     full = wanted.join(texts, "rep").select("grp", "rep", "size", "text").mapInArrow(sets, "grp long, rep long, size long, set binary")
     full = cut(full)
+    tidy(docs.sparkSession)
     small = full.filter(F.col("size") <= p.group).select("grp", "rep", "set").repartition("grp").sortWithinPartitions("grp", "rep")
     out = small.mapInArrow(_small_groups(p), "node long, component long")
     large = full.filter(F.col("size") > p.group)
