@@ -110,6 +110,7 @@ def _pieces(path: str, seq_len: int, end_id: int, with_ids: bool):
                     yield pa.record_batch([*cols, pa.array(out[5], pa.binary())], names=[*PIECES_ARROW.names, "ids"])
                 else:
                     yield pa.record_batch(cols, schema=PIECES_ARROW)
+        cache.end()
 
     return run
 

@@ -213,6 +213,7 @@ def encode(df: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str =
             for part in sliced(batch, "text", 4 << 20):
                 ids = cache.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["doc_id", "ids", "n_ids"])
+        cache.end()
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ENCODED)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from lodestone.llm.common import release
+
 
 class UnitCache:
     """Ids as packed little-endian unsigned 32-bit integers.
@@ -15,7 +17,7 @@ class UnitCache:
 
     _open: dict[tuple[type, str], UnitCache] = {}
 
-    def __init__(self, most: int = 350_000) -> None:
+    def __init__(self, most: int = 320_000) -> None:
         self.most, self.units, self.old = most, {}, {}
 
     @classmethod
@@ -44,6 +46,11 @@ class UnitCache:
             for w, x, y in zip((keys or units)[a : a + 8192], at, at[1:]):
                 self.units[w] = ids[x:y]
 
+    def end(self) -> None:
+        """At the end of a partition only the young generation stays."""
+        self.old = {}
+        release()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]
         new = set().union(*[s for s in split if s])
