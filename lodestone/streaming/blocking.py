@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.functions import addresses, names
+from lodestone.functions import records
 from lodestone.operators import blocking
 from lodestone.sources.readers import SOURCE
 
@@ -17,14 +17,20 @@ def read(spark: SparkSession, path: str, schema: str = SOURCE) -> DataFrame:
 
 def normalize(stream: DataFrame) -> DataFrame:
     """Stateless, so it runs on streams as on tables."""
-    return addresses.normalized(names.normalized(stream))
+    return records.normalized(stream)
 
 
 def append_keys(stream: DataFrame, index: str, checkpoint: str, config: blocking.BlockingConfig = blocking.BlockingConfig()) -> StreamingQuery:
-    """Appends each batch's key rows to the index folder, by country; a batch that is run again replaces itself."""
+    """Appends each batch's normalised records to ``index``/entities and their key rows to ``index``/keys.
+
+    A batch that is run again replaces itself.  Keys are made from the written records: one rule program at a
+    time keeps plans small.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = blocking.key_rows(normalize(batch), config)
-        rows.write.mode("overwrite").parquet(f"{index}/batch={number}")
+        entities = f"{index}/entities/batch={number}"
+        normalize(batch).write.mode("overwrite").parquet(entities)
+        rows = blocking.key_rows(batch.sparkSession.read.parquet(entities), config)
+        rows.write.mode("overwrite").parquet(f"{index}/keys/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
