@@ -75,7 +75,7 @@ class WordIds(UnitCache):
                 letters.append(w)
                 continue
             base = w.rstrip(_TAIL)
-            if base and base != w:
+            if base and base != w and base[-1].isalnum() and base[-1] < "\u0250":
                 joined.append((w, base, w[len(base) :]))
             else:
                 others.append(w)

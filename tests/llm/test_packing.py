@@ -63,3 +63,11 @@ def test_cache_generations():
     texts = [" ".join(f"w{i} x{i}, ({i}) it's" for i in range(k, k + 20)) for k in range(0, 200, 7)]
     for t in [*texts, "ΑΣ Σ", "é a", "a.b ., _. _, x"]:
         assert c.encode([t]) == [c.whole(t)]
+
+
+def test_runs_of_signs():
+    import itertools
+
+    c = packing.WordIds(PATH)
+    texts = [f"{a}{s} b" for a in ("a", "é", "1", "") for n in (1, 2, 3) for s in map("".join, itertools.product("._'-,é1", repeat=n))]
+    assert c.encode(texts) == [c.whole(t) for t in texts]
