@@ -31,26 +31,24 @@ SIDED_SQL = (
     f"{PAIRS_WITH}, p AS MATERIALIZED (SELECT t.source1_entity_id, t.candidate_entity_id, t.score, l.norm_name AS l_name, r.norm_name AS r_name, coalesce(l.business_address, '') AS l_address, "
     "coalesce(r.business_address, '') AS r_address, l.country AS l_country, r.country AS r_country FROM otop t JOIN n l ON l.entity_id = t.source1_entity_id JOIN n r ON r.entity_id = t.candidate_entity_id)"
 )
-_A, _B = F.col("l_name"), F.col("r_name")
-
 
 def feature(name: str, column, sql: str | None) -> None:
     """Registers a feature of blocked pairs, rounded to 6 places."""
     text = f"{SIDED_SQL} SELECT source1_entity_id, candidate_entity_id, round({sql}, 6) AS value FROM p" if sql else None
-    query(name, text)(lambda spark, d: sided(spark, d).select(*PAIR, F.round(column().cast("double"), 6).alias("value")))
+    query(name, text)(lambda spark, d: sided(spark, d).select(*PAIR, F.round(column(F.col("l_name"), F.col("r_name")).cast("double"), 6).alias("value")))
 
 
-feature("feat_levenshtein", lambda: similarity.levenshtein_similarity(_A, _B), "CASE WHEN l_name = r_name THEN 1.0::DOUBLE ELSE 1 - levenshtein(l_name, r_name)::DOUBLE / greatest(length(l_name), length(r_name)) END")
-feature("feat_jaro_winkler", lambda: similarity.jaro_winkler_similarity(_A, _B), "CASE WHEN l_name = r_name THEN 1.0::DOUBLE ELSE jaro_winkler_similarity(l_name, r_name) END")
-feature("feat_len_diff", lambda: similarity.length_difference(_A, _B), "abs(length(l_name) - length(r_name))::DOUBLE / greatest(length(l_name), length(r_name), 1)")
-feature("feat_token_sort", lambda: similarity.token_sort_similarity(_A, _B), None)
-feature("feat_token_set", lambda: similarity.token_set_similarity(_A, _B), None)
+feature("feat_levenshtein", similarity.levenshtein_similarity, "CASE WHEN l_name = r_name THEN 1.0::DOUBLE ELSE 1 - levenshtein(l_name, r_name)::DOUBLE / greatest(length(l_name), length(r_name)) END")
+feature("feat_jaro_winkler", similarity.jaro_winkler_similarity, "CASE WHEN l_name = r_name THEN 1.0::DOUBLE ELSE jaro_winkler_similarity(l_name, r_name) END")
+feature("feat_len_diff", similarity.length_difference, "abs(length(l_name) - length(r_name))::DOUBLE / greatest(length(l_name), length(r_name), 1)")
+feature("feat_token_sort", similarity.token_sort_similarity, None)
+feature("feat_token_set", similarity.token_set_similarity, None)
 
 
 @query("feat_exact_country", f"{SIDED_SQL} SELECT source1_entity_id, candidate_entity_id, CAST(l_name = r_name AS TINYINT) AS name_match, CAST(l_address = r_address AS TINYINT) AS addr_match, CAST(l_country = r_country AS TINYINT) AS country_match FROM p")
 def feat_exact_country(spark, d):
     c = F.col
-    return sided(spark, d).select(*PAIR, similarity.equal(_A, _B).alias("name_match"), similarity.equal(c("l_address"), c("r_address")).alias("addr_match"), similarity.equal(c("l_country"), c("r_country")).alias("country_match"))
+    return sided(spark, d).select(*PAIR, similarity.equal(c("l_name"), c("r_name")).alias("name_match"), similarity.equal(c("l_address"), c("r_address")).alias("addr_match"), similarity.equal(c("l_country"), c("r_country")).alias("country_match"))
 
 
 _NUM = addresses.number_program("address", "_n_")

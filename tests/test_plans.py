@@ -48,3 +48,11 @@ def test_equals_oracle(spark, duck, name):
 
 def test_names_agree():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
