@@ -47,7 +47,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+    # Fewer words are remembered than where packing runs alone: other stages use the same executors.
+    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=250_000))
 
 
 STAGES = [("language", keep_identified), ("quality", keep_good), ("near_duplicates", keep_one_of_each_group), ("packing", pack)]
