@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import keys
 from lodestone.functions.dialect import SPARK
 from lodestone.operators import tfidf
+from lodestone.sources.staging import staged
 
 
 @dataclass(frozen=True)
@@ -99,7 +100,9 @@ class MultiStrategyBlocker:
     corpus: DataFrame | None = None
 
     def fit(self, corpus: DataFrame) -> MultiStrategyBlocker:
-        return replace(self, corpus=corpus, index=without_large_blocks(key_rows(corpus, self.config), self.config.max_block_size))
+        """Indexes the corpus; its key table is staged, as it is counted, filtered and joined."""
+        keys_ = staged(key_rows(corpus, self.config))
+        return replace(self, corpus=corpus, index=without_large_blocks(keys_, self.config.max_block_size))
 
     def _check(self) -> None:
         if self.index is None:

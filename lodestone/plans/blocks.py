@@ -9,7 +9,7 @@ from lodestone.functions.dialect import DUCK, SPARK, Program, apply, ctes
 from lodestone.operators import blocking, tfidf, vectors
 from lodestone.plans.adapter import entities, table, truth_pairs
 from lodestone.plans.catalog import query
-from lodestone.plans.records import NORMALIZED_SQL, normalized, over_entities
+from lodestone.plans.records import NORMALIZED_SQL, over_entities, stored
 
 #: Blocks are small at test scale, so that the limit matters there.
 LIMIT, CANDIDATES = 40, 10
@@ -30,24 +30,24 @@ ADDRESS_KEYS_SQL = f"WITH {ctes(NORMALIZED_SQL, ADDRESS_PROGRAM, 'a')} SELECT en
 
 @query("block_token_keys", f"SELECT entity_id, key FROM ({TOKEN_KEYS_SQL})")
 def block_token_keys(spark, d):
-    return keys.token_key_column(normalized(spark, d), "norm_name_no_legal").select("entity_id", F.explode_outer("token_keys").alias("key")).filter("key is not null")
+    return keys.token_key_column(stored(spark, d), "norm_name_no_legal").select("entity_id", F.explode_outer("token_keys").alias("key")).filter("key is not null")
 
 
 @query("block_address_keys", f"SELECT entity_id, key, count(*) AS times FROM ({ADDRESS_KEYS_SQL}) GROUP BY 1, 2")
 def block_address_keys(spark, d):
-    rows = keys.address_key_column(normalized(spark, d)).select("entity_id", F.explode_outer("address_keys").alias("key")).filter("key is not null")
+    rows = keys.address_key_column(stored(spark, d)).select("entity_id", F.explode_outer("address_keys").alias("key")).filter("key is not null")
     return rows.groupBy("entity_id", "key").agg(F.count(F.lit(1)).alias("times"))
 
 
 @query("block_soundex_keys")
 def block_soundex_keys(spark, d):
-    rows = keys.phonetic_key_column(normalized(spark, d), "norm_name_no_legal").select("entity_id", F.explode_outer("phonetic_keys").alias("key")).filter("key is not null")
+    rows = keys.phonetic_key_column(stored(spark, d), "norm_name_no_legal").select("entity_id", F.explode_outer("phonetic_keys").alias("key")).filter("key is not null")
     return rows.filter(F.col("key").contains("SND1:"))
 
 
 @query("block_metaphone_keys")
 def block_metaphone_keys(spark, d):
-    rows = keys.phonetic_key_column(normalized(spark, d), "norm_name_no_legal").select("entity_id", F.explode_outer("phonetic_keys").alias("key")).filter("key is not null")
+    rows = keys.phonetic_key_column(stored(spark, d), "norm_name_no_legal").select("entity_id", F.explode_outer("phonetic_keys").alias("key")).filter("key is not null")
     return rows.filter(F.col("key").contains("META"))
 
 
@@ -78,7 +78,7 @@ PAIRS_WITH = (
 
 def fitted(spark, d, config):
     """(blocker, queries, corpus) over the records."""
-    e = normalized(spark, d)
+    e = stored(spark, d)
     q, c = e.filter("src = 1"), e.filter("src <> 1")
     return blocking.MultiStrategyBlocker(config).fit(c), q, c
 
@@ -172,7 +172,7 @@ _NAMES_SRC = f"WITH src AS MATERIALIZED (SELECT entity_id AS id, norm_name AS t,
 
 
 def _counted(spark, d):
-    e = normalized(spark, d)
+    e = stored(spark, d)
     counts = tfidf.gram_counts(e, "entity_id", "norm_name")
     return e, counts, tfidf.idf(counts, e.count())
 
@@ -214,7 +214,7 @@ _KNN_LEAST, _KNN = 0.35, 5
     f"SELECT source1_entity_id, candidate_entity_id, similarity FROM r QUALIFY row_number() OVER (PARTITION BY source1_entity_id ORDER BY similarity DESC, candidate_entity_id) <= {_KNN}",
 )
 def tfidf_knn(spark, d):
-    e = normalized(spark, d)
+    e = stored(spark, d)
     config = blocking.BlockingConfig(top_k_tfidf=_KNN * 40, min_tfidf_sim=_KNN_LEAST)
     near = tfidf.nearest(e.filter("src = 1"), e.filter("src <> 1"), "norm_name", config).withColumn("similarity", F.round("similarity", 6))
     from pyspark.sql import Window
@@ -225,7 +225,7 @@ def tfidf_knn(spark, d):
 
 @query("tfidf_dense_knn")
 def tfidf_dense_knn(spark, d):
-    e = normalized(spark, d)
+    e = stored(spark, d)
     return tfidf.nearest(e.filter("src = 1"), e.filter("src <> 1"), "norm_name", blocking.BlockingConfig(knn_engine="dense", top_k_tfidf=5, min_tfidf_sim=0.5))
 
 

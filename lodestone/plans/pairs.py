@@ -10,7 +10,8 @@ from lodestone.operators import features, matcher, metrics, profile, sampling, s
 from lodestone.plans.adapter import ENTITIES_SQL, entities, truth_pairs
 from lodestone.plans.blocks import _GRAMS, _IDF, _VECTORS, PAIRS_WITH, TOKENS, fitted
 from lodestone.plans.catalog import query
-from lodestone.plans.records import normalized
+from lodestone.plans.records import stored
+from lodestone.sources.staging import staged
 
 PAIR = features.PAIR
 
@@ -23,7 +24,7 @@ def blocked(spark, d):
 
 def sided(spark, d):
     """Blocked pairs with the names, addresses and countries of both sides."""
-    look = features.lookup(normalized(spark, d))
+    look = features.lookup(stored(spark, d))
     return features.with_sides(blocked(spark, d).select(*PAIR, "score"), look, look)
 
 
@@ -101,9 +102,9 @@ def feature_matrix(spark, d):
 
 
 def matrix(spark, d):
-    e = normalized(spark, d)
+    e = stored(spark, d)
     look = features.lookup(e)
-    return features.FeatureExtractor().fit(e).matrix(blocked(spark, d), look, look, truth_pairs(entities(spark, d)))
+    return features.FeatureExtractor().fit(e).matrix(staged(blocked(spark, d)), look, look, truth_pairs(entities(spark, d)))
 
 
 @query("feature_matrix_full")

@@ -10,6 +10,7 @@ from lodestone.functions.dialect import DUCK, Program, apply, ctes
 from lodestone.plans.adapter import ENTITIES_SQL, entities, table
 from lodestone.plans.catalog import query
 from lodestone.sources import readers
+from lodestone.sources.staging import staged
 
 NAMES, ADDRESSES = names.program(), addresses.program()
 NORMALIZED: Program = [*NAMES, *ADDRESSES]
@@ -27,6 +28,11 @@ def normalized(spark, d: str) -> DataFrame:
     return apply(df, NORMALIZED).select(*own, *names.OUTPUTS, *addresses.OUTPUTS)
 
 
+def stored(spark, d: str) -> DataFrame:
+    """``normalized``, staged: what blocking and features start from."""
+    return staged(normalized(spark, d))
+
+
 NORMALIZED_SQL = over_entities(NORMALIZED, ", ".join(["entity_id", "src", "country", "business_name", "business_address", "truth", "doc_id", *names.OUTPUTS, *addresses.OUTPUTS]))
 
 
@@ -117,4 +123,4 @@ def process_all(spark, d):
     return normalized(spark, d).select(*columns)
 
 
-__all__ = ["DUCK", "NORMALIZED_SQL", "normalized", "over_entities"]
+__all__ = ["DUCK", "NORMALIZED_SQL", "normalized", "over_entities", "stored"]
