@@ -180,8 +180,9 @@ def identify(df: DataFrame, model: Likelihood, *, text: Column, host: Column, su
 
 
 def page_text(html: Column) -> Column:
-    """A page's text without scripts, styles, comments, navigation and tags."""
+    """A page's text without scripts, styles, comments, navigation, advertisements and tags."""
     h = F.regexp_replace(html, r"(?is)<(script|style|nav|header|footer|aside)\b.*?</\1\s*>|<!--.*?-->", " ")
+    h = F.regexp_replace(h, r"(?is)<div\b[^>]*\bclass\s*=\s*[\"'][^\"'>]*\b(?:ads?|advert\w*|banner)\b[^>]*>.*?</div\s*>", " ")
     h = F.regexp_replace(h, r"(?s)<[^>]*>", " ")
     return F.regexp_replace(h, r"&#?\w{1,8};", " ")
 
