@@ -6,8 +6,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 * ``language``: drops documents whose language isn't accepted (no letters, or no language with half of the
   posterior).  A document's source stands for the host, its ``lang`` for the declared language.
 * ``quality``: drops documents with a score below 0.5.  Labelled rows that aren't held out train the model.
-* ``near_duplicates``: one document of each group stays, the one of the smallest id; rows that repeat an id are
-  copies, too.  Documents without id stay.
+* ``near_duplicates``: one document of each group stays, the one of the smallest id; documents of a similarity of
+  0.8 or more are linked, and rows that repeat an id are copies, too.  Documents without id stay.
 * ``packing``: the pieces of the documents in sequences of at most 2048 tokens.
 
 Null texts have no letters and go in the first stage; an empty table passes as one.  The last stage has no SQL
@@ -26,6 +26,9 @@ from lodestone.llm.common import ensure_checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: A lower threshold than op7's; the tree count, tie and leave are set so that a link at 0.8 is met as surely.
+NEAR = near_dedup.Params(percent=80, trees=5, tie=0.45, leave=0.75)
+
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs)
@@ -39,7 +42,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dedup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    kept = near_dedup.near_duplicates(docs, NEAR).filter("kept and doc_id is not null").select("doc_id").distinct()
     one = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.select(*COLUMNS).filter("doc_id is null"))
 

@@ -39,6 +39,18 @@ def test_stages(spark, tmp_path, words):
     assert sorted({r.doc_id for r in corpus_pipeline.run(spark, d).collect()}) == kept["near_duplicates"]
 
 
+def test_near_duplicates_from_four_fifths(spark, words):
+    """One word in the middle is another: of n shingles n - 5 stay equal, of n + 5."""
+    docs, gone = [], set()
+    for k, n in enumerate([44, 45, 46, 50, 54, 56] * 5):
+        w = words(n + 4, 500 + k)
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[: n // 2], f"changed{k}", *w[n // 2 + 1 :]]))]
+        gone |= {2 * k + 1} if n >= 45 else set()
+    rows = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, rows, "").collect()}
+    assert kept == set(range(60)) - gone
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
