@@ -290,13 +290,17 @@ def _large_groups(members: DataFrame, p: Params) -> DataFrame:
     first = links(members.filter(share < p.pivots))
     # The pivot of most links, the pivots linked with it, and all that is linked with any of these are one component.
     by_pivot = first.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(pivots, "a")
-    best = by_pivot.groupBy("grp").agg(F.max(F.struct("n", "a"))["a"].alias("a")).select("a")
-    near = first.join(best, "a", "left_semi").select(F.col("b").alias("a")).join(pivots.select("a"), "a", "left_semi").unionByName(best).distinct()
-    main = first.join(near, "a", "left_semi").select(F.col("b").alias("rep")).unionByName(near.select(F.col("a").alias("rep"))).distinct()
+    best = by_pivot.groupBy("grp").agg(F.max(F.struct("n", "a"))["a"].alias("a")).select("a", F.col("a").alias("hub"))
+    near = first.join(best, "a").select(F.col("b").alias("a"), "hub").join(pivots.select("a"), "a", "left_semi").unionByName(best).distinct()
+    found = first.join(near, "a", "left").select("a", "b", "hub")
+    main = cut(found.filter("hub is not null").select(F.col("b").alias("rep"), "hub").unionByName(near.select(F.col("a").alias("rep"), "hub")).distinct())
     outside = cut(members.select("rep").join(main, "rep", "left_anti"))
     tidy(members.sparkSession)
     rest = links(members.join(outside, "rep", "left_semi"))
-    return components(first.unionByName(rest))
+    # All of a main component stands as its hub, so that its members' links are not carried one by one.
+    rest = rest.join(main.withColumnRenamed("rep", "b"), "b", "left").select("a", F.coalesce("hub", "b").alias("b"))
+    others = found.filter("hub is null").join(main.select(F.col("rep").alias("b"), F.col("hub").alias("to")), "b", "left").select("a", F.coalesce("to", "b").alias("b"))
+    return components(main.select(F.col("hub").alias("a"), F.col("rep").alias("b")).unionByName(others).unionByName(rest))
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, p: Params, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
