@@ -1,4 +1,4 @@
-"""Connected components of an edge list, by alternating large and small stars."""
+"""Connected components of an edge list, by alternating large and small stars, and joins that split hot keys."""
 
 from __future__ import annotations
 
@@ -7,6 +7,33 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, tidy
 
+#: A key is hot if it holds this share of all rows, so that there are at most so many; below FLOOR rows none is.
+HOT_KEYS, FLOOR = 4096, 256
+
+
+def least_hot(total: int) -> int:
+    return max(FLOOR, -(-total // HOT_KEYS))
+
+
+def hot_keys(rows: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """The keys of at least a 4096th of all ``rows`` (computed already: they are counted); 4096 at most."""
+    total = rows.count() if total is None else total
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_hot(total)).select(key)
+
+
+def spread(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """``left`` joined (inner or left) with ``right``, in which a key stands once, without gathering a key's rows.
+
+    The rows of hot keys stay where they are and meet the few rows of ``right`` that belong to them by broadcast
+    (4096 at most, as a hot key holds a 4096th of ``left``); all others are joined by the key.
+    """
+    hot = cut(hot_keys(left, key) if hot is None else hot)
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    light = left.join(F.broadcast(hot), key, "left_anti").join(right, key, how)
+    heavy = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), key, "left_semi")), key, how)
+    return light.unionByName(heavy)
+
 
 def _mark(e: DataFrame) -> tuple[int, int]:
     row = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -16,21 +43,24 @@ def _mark(e: DataFrame) -> tuple[int, int]:
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) for every node of ``edges`` (a, b: long).
 
-    A star's centre is found by an aggregate and joined back, so a node of many edges is one more key
-    that Spark may split; edges are cut after every round.  Loops and repeated edges change nothing; in a dense
-    group a node's neighbours mostly name the same centre, which is kept once before the next join.
+    Edges point from the larger to the smaller end.  Large star: each edge's smaller end is replaced by that end's
+    own smallest neighbour; small star: all smaller neighbours of a node point to the smallest of them.  The joins
+    split nodes of very many edges; edges are cut after every step.  Loops and repeated edges change nothing.
     """
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = _mark(e)
     while mark[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        centre = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(centre, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        up = e.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(spread(e, up.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        if low.count() < large.count():
+            small = spread(large, low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+            del small
+        else:  # every node points to one other: the small star has nothing to do
+            e = large
         before, mark = mark, _mark(e)
-        del both, centre, large, low, small
+        del up, large, low
         tidy(edges.sparkSession)
         if mark == before:
             break

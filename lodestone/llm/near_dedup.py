@@ -8,11 +8,11 @@
    In a larger node every class is held against a pivot: those alike enough are tied to it, the closest
    of them leave, all others branch on by further tokens.  By the triangle inequality of the Jaccard
    distance, a class that leaves has its links among classes tied to the same pivot.  After the last level
-   all of a node is tied together.  So each link lies, but for chance far below one in a million, inside a
+   all of a node is tied together.  So each link lies, but for odds that ``Params`` gives, inside a
    connected group of ties, and ties grow with the classes, not with their pairs.
 3. Links are confirmed on full sets inside each group: small groups in one task, breadth first over an
-   inverted index; large ones in blocks against pivots, then everything that isn't connected over the pivot of most links
-   against all blocks, so that each pair is either compared or already connected.
+   inverted index; large ones in blocks against pivots, then everything outside the largest component so found
+   against all blocks, so that each pair is either compared or already connected.  Blocks give spanning forests.
 4. Connected components of the confirmed links; the smallest id of each stays.
 
 Null and empty texts have an empty set and are linked with nothing; texts of fewer words than a shingle
@@ -31,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import by_key, cut, map_slices, sliced, tidy
-from lodestone.llm.graph import components
+from lodestone.llm.common import by_key, cut, map_slices, release, sliced, tidy
+from lodestone.llm.graph import components, least_hot, spread
 from lodestone.llm.hashing import SPACE, Buffer, mixed
 
 
@@ -40,23 +40,31 @@ from lodestone.llm.hashing import SPACE, Buffer, mixed
 class Params:
     """Shingle length, similarity in hundredths, signature length, trees, branches of a root and of a node, leaf size, levels, group size.
 
-    Two classes at the threshold share a path of two tokens with probability 0.72, so one of 16 root
-    branches in all but 2 of 10^9 cases, and one of 2 further branches in 92 of 100.
+    Odds at the threshold, two classes of similarity 0.8: they share a path of two tokens with probability 0.64, so
+    one of 20 root branches in all but 1.4 of 10^9 cases, and one of 2 further branches in 87 of 100.  All trees use one
+    signature: fewer than 45 % of its 64 tokens agree, which would keep the two untied in every leaf, with odds 1.9 in
+    10^10.  A class that leaves a large node (75 % alike to its pivot) has its links at 0.55 or more to the pivot; in the
+    worst case such a link misses its tie (35 %) with odds 7 in 10^4, in each tree whose node is large.
     """
 
     words: int = 5
-    percent: int = 85
+    percent: int = 80
     tokens: int = 64
-    trees: int = 4
+    trees: int = 5
     roots: int = 4
     branches: int = 2
     leaf: int = 192
     levels: int = 6
     group: int = 256
+    shingles: int = 8192  # of a group that count as much as one class
     pivots: int = 32
-    tie: float = 0.6  # least share of equal tokens at which two classes of a leaf are tied
-    attach: float = 0.4  # ... at which a class of a large node is tied to the pivot
-    leave: float = 0.7  # ... from which on it needn't branch on
+    tie: float = 0.45  # least share of equal tokens at which two classes of a leaf are tied
+    attach: float = 0.35  # ... at which a class of a large node is tied to the pivot
+    leave: float = 0.75  # ... from which on it needn't branch on
+
+
+#: At a similarity of 0.85: 16 root branches miss a pair with odds 1.2 in 10^9, half of the tokens with odds 9 in 10^12.
+AT_85 = Params(percent=85, trees=4, tie=0.5, leave=0.7)
 
 
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -178,14 +186,17 @@ def ties(classes: DataFrame, p: Params) -> DataFrame:
     roots = [F.xxhash64(F.lit(k), place(2 * k % p.tokens), place((2 * k + 1) % p.tokens)) for k in range(p.trees * p.roots)]
     count = F.count(F.lit(1)).alias("size")
     nodes = classes.select(F.explode(F.array(*roots)).alias("node"), "rep")
-    met = cut(nodes.join(nodes.groupBy("node").agg(count).filter("size > 1"), "node"))
+    shared = cut(nodes.groupBy("node").agg(count).filter("size > 1"))
+    least = F.lit(least_hot(classes.count() * p.trees * p.roots))
+    met = cut(spread(nodes, shared, "node", hot=shared.filter(F.col("size") >= least).select("node")))
     leaves, found = [met.filter(F.col("size") <= p.leaf).select("node", "rep")], []
     # Signatures travel with the rows of large nodes alone.
     rows = met.filter(F.col("size") > p.leaf).select("node", "rep").join(classes.select("rep", "sig"), "rep").select("node", "rep", "sig")
     for level in range(p.levels):
         pivot = F.min(F.struct(F.xxhash64("node", "rep").alias("h"), F.col("rep").alias("pivot"), F.col("sig").alias("pivot_sig"))).alias("m")
-        size = rows.groupBy("node").agg(count, pivot).filter("size > 1").select("node", "size", "m.pivot", "m.pivot_sig")
-        met = cut(rows.join(size, "node"))
+        size = cut(rows.groupBy("node").agg(count, pivot).filter("size > 1").select("node", "size", "m.pivot", "m.pivot_sig"))
+        total = size.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        met = cut(spread(rows, size, "node", hot=size.filter(F.col("size") >= least_hot(total)).select("node")))
         leaves.append(met.filter(F.col("size") <= p.leaf).select("node", "rep"))
         large = met.filter(F.col("size") > p.leaf).select("node", "rep", "sig", "pivot", "pivot_sig")
         if large.isEmpty():
@@ -254,60 +265,93 @@ def _small_groups(p: Params):
     return run
 
 
+class Forest:
+    """Sets of places that are linked, over the members of a block."""
+
+    def __init__(self, n: int) -> None:
+        self.up = np.arange(n)
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, hit: np.ndarray) -> np.ndarray:
+        """One of ``hit`` for each set that it touches; these become one."""
+        if not len(hit):
+            return hit
+        roots, first = np.unique([self.root(x) for x in hit.tolist()], return_index=True)
+        self.up[roots] = roots[0]
+        return hit[first]
+
+
 def _blocks(p: Params):
-    """Links between the queries and the members of each block (block key, rep, set, is a query)."""
+    """A spanning forest of the links between queries and members of each block (block key, asks, rep, set; members first).
+
+    Members are indexed, then queries stream by.  A query is tied to one member of each set that its links touch, so
+    edges grow with queries and members, not with links.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_key(batches):
-            rep, sets, asks = t.column(1).to_numpy(), _unpack(t.column(2)), t.column(3).to_numpy()
-            members = np.flatnonzero(~asks)
-            if not len(members) or len(members) == len(rep):
-                continue
-            block, a, b = Overlaps([sets[i] for i in members], p.percent), [], []
-            for i in np.flatnonzero(asks):
-                hit = rep[members[block.linked(sets[i])]]
-                a.append(np.full(len(hit), rep[i]))
-                b.append(hit)
-            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        key, block, forest, rep, members, sets = None, None, None, [], np.empty(0, np.int64), []
+        for batch in batches:
+            keys, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int8)
+            own, col = batch.column(2).to_numpy(), batch.column(3)
+            cuts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(asks) != 0)) + 1
+            a, b = [], []
+            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                if x == y:
+                    continue
+                if keys[x] != key:
+                    key, block, rep, sets = keys[x], None, [], []
+                new = _unpack(col.slice(x, y - x))
+                if not asks[x]:
+                    rep.append(own[x:y])
+                    sets += new
+                    continue
+                if block is None:
+                    block, forest, members, sets = Overlaps(sets, p.percent), Forest(len(sets)), np.concatenate(rep) if rep else np.empty(0, np.int64), []
+                for i, s in zip(own[x:y].tolist(), new):
+                    if len(members):
+                        hit = members[forest.join(np.flatnonzero(block.linked(s)))]
+                        a.append(np.full(len(hit), i))
+                        b.append(hit)
+            if a:
+                yield pa.record_batch([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
+        release()
 
     return run
 
 
 def _large_groups(members: DataFrame, p: Params) -> DataFrame:
-    """Components inside groups of more than ``p.group`` classes (grp, rep, size, set)."""
-    blocks = F.ceil(F.col("size") / p.group).cast("int")
-    members = members.withColumn("blocks", blocks)
-    dealt = members.select(F.xxhash64("grp", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("key"), "rep", "set", F.lit(False).alias("asks"))
+    """Components inside groups of a size over ``p.group`` (grp, rep, size, set)."""
+    members = members.withColumn("blocks", F.ceil(F.col("size") / p.group).cast("int"))
+    dealt = members.select(F.xxhash64("grp", F.pmod(F.xxhash64("rep"), F.col("blocks"))).alias("key"), F.lit(False).alias("asks"), "rep", "set")
 
     def links(queries: DataFrame) -> DataFrame:
         sent = queries.select("grp", "rep", "set", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
-        sent = sent.select(F.xxhash64("grp", F.col("k").cast("long")).alias("key"), "rep", "set", F.lit(True).alias("asks"))
+        sent = sent.select(F.xxhash64("grp", F.col("k").cast("long")).alias("key"), F.lit(True).alias("asks"), "rep", "set")
         return cut(dealt.unionByName(sent).repartition("key").sortWithinPartitions("key", "asks", "rep").mapInArrow(_blocks(p), "a long, b long"))
 
     # The hash decides who is a pivot: about p.pivots of each group, chosen without gathering it.
     share = (F.xxhash64(F.lit("pivot"), "rep").cast("double") / 2.0**64 + 0.5) * F.col("size")
-    pivots = members.filter(share < p.pivots).select("grp", F.col("rep").alias("a"))
-    first = links(members.filter(share < p.pivots))
-    # The pivot of most links, the pivots linked with it, and all that is linked with any of these are one component.
-    by_pivot = first.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(pivots, "a")
-    best = by_pivot.groupBy("grp").agg(F.max(F.struct("n", "a"))["a"].alias("a")).select("a", F.col("a").alias("hub"))
-    near = first.join(best, "a").select(F.col("b").alias("a"), "hub").join(pivots.select("a"), "a", "left_semi").unionByName(best).distinct()
-    found = first.join(near, "a", "left").select("a", "b", "hub")
-    main = cut(found.filter("hub is not null").select(F.col("b").alias("rep"), "hub").unionByName(near.select(F.col("a").alias("rep"), "hub")).distinct())
-    outside = cut(members.select("rep").join(main, "rep", "left_anti"))
+    known = cut(components(links(members.filter(share < p.pivots))))
+    # The largest component that pivots connect is each group's main one; all else is held against all blocks.
+    of = cut(members.select("grp", "rep").join(known.withColumnRenamed("node", "rep"), "rep"))
+    counts = of.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("grp").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
+    main = spread(of, best, "grp").filter("component = main").select("rep")
+    outside = cut(members.join(main, "rep", "left_anti"))
     tidy(members.sparkSession)
-    rest = links(members.join(outside, "rep", "left_semi"))
-    # All of a main component stands as its hub, so that its members' links are not carried one by one.
-    rest = rest.join(main.withColumnRenamed("rep", "b"), "b", "left").select("a", F.coalesce("hub", "b").alias("b"))
-    others = found.filter("hub is null").join(main.select(F.col("rep").alias("b"), F.col("hub").alias("to")), "b", "left").select("a", F.coalesce("to", "b").alias("b"))
-    return components(main.select(F.col("hub").alias("a"), F.col("rep").alias("b")).unionByName(others).unionByName(rest))
+    return components(known.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links(outside)))
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, p: Params, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``node`` (a class's rep) and ``component`` for all classes that have a link, and some that have none."""
-    groups = components(ties(classes, p)).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-    size = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-    wanted = cut(groups.join(size, "grp"))
+    groups = cut(components(ties(classes, p)).select(F.col("node").alias("rep"), F.col("component").alias("grp")).join(classes.select("rep", "n"), "rep"))
+    # A group counts by its classes or by its shingles, whichever says more: long texts make a group large, too.
+    size = groups.groupBy("grp").agg(F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") / p.shingles)).cast("long").alias("size"))
+    wanted = cut(spread(groups.drop("n"), size, "grp"))
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,4 +385,4 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), *, id_col: str = "doc
 
 
 def op7_chosen_path(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), AT_85)

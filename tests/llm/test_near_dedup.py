@@ -1,8 +1,11 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from lodestone.llm import graph
 from lodestone.llm import near_dedup as nd
 from lodestone.llm.graph import components
 
@@ -49,7 +52,7 @@ def corpus(words):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("p", [nd.Params(), nd.Params(leaf=8, group=6, pivots=2, levels=3)])
+@pytest.mark.parametrize("p", [nd.AT_85, nd.Params(percent=85, leaf=8, group=6, pivots=2, levels=3)])
 def test_equals_brute_force(spark, words, p):
     rows = corpus(words)
     got = sorted(map(tuple, nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), p).collect()))
@@ -72,9 +75,32 @@ def test_shingles_of_short_texts():
     assert nd.shingle_sets(["x y z 1 2"])[0].tolist() != nd.shingle_sets(["x y z 1 2"])[0].tolist()
 
 
-def test_components(spark):
+def test_blocks_give_forests():
+    """Members and queries that are all linked: one edge a query, and one for each member that joins the others."""
+    base = np.arange(1000, dtype=np.uint64)
+    rows = [(7, False, i, base.tobytes()) for i in range(50)] + [(7, True, 100 + i, base.tobytes()) for i in range(30)]
+    rows += [(8, True, 5, base.tobytes())] + [(9, False, 1, base.tobytes()), (9, False, 2, (base + 5000).tobytes()), (9, True, 3, (base + 5000).tobytes()), (9, True, 4, (base + 9000).tobytes())]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("key", "asks", "rep", "set"), r)) for r in rows])
+    for size in (1000, 7, 1):
+        got = pa.Table.from_batches(nd._blocks(nd.Params())(batch.slice(a, size) for a in range(0, len(rows), size)))
+        edges = list(zip(got["a"].to_pylist(), got["b"].to_pylist()))
+        assert len(edges) == 50 + 29 + 1 and edges[-1] == (3, 2)
+        assert {b for _, b in edges[:50]} == set(range(50)) and {a for a, _ in edges[49:-1]} == set(range(100, 130)) | {100}
+
+
+def test_spread_joins_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FLOOR", 10)
+    left = spark.createDataFrame([(0 if i % 2 else i, i) for i in range(400)], "k long, x long")
+    right = spark.createDataFrame([(i, -i) for i in range(0, 400, 4)], "k long, y long")
+    assert graph.hot_keys(left, "k").collect() == [(0,)]
+    for how in ("inner", "left"):
+        assert sorted(map(str, graph.spread(left, right, "k", how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+
+
+def test_components(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FLOOR", 16)
     rng = random.Random(2)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)] + [(2000, 2001 + i) for i in range(90)] + [(2500, 2001 + i) for i in range(0, 90, 2)]
     label = {x: x for e in edges for x in e}
     changed = True
     while changed:
