@@ -7,7 +7,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
   posterior).  A document's source stands for the host, its ``lang`` for the declared language.
 * ``quality``: drops documents with a score below 0.5.  Labelled rows that aren't held out train the model.
 * ``near_duplicates``: one document of each group stays, the one of the smallest id; documents of a similarity of
-  0.8 or more are linked, and rows that repeat an id are copies, too.  Documents without id stay.
+  0.8 or more are linked, and rows that repeat an id are one document: the one of the smallest text (then language,
+  source, length) stands for it.  Documents without id stay.
 * ``packing``: the pieces of the documents in sequences of at most 2048 tokens.
 
 Null texts have no letters and go in the first stage; an empty table passes as one.  The last stage has no SQL
@@ -26,9 +27,6 @@ from lodestone.llm.common import ensure_checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: A lower threshold than op7's; the tree count, tie and leave are set so that a link at 0.8 is met as surely.
-NEAR = near_dedup.Params(percent=80, trees=5, tie=0.45, leave=0.75)
-
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs)
@@ -42,9 +40,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dedup.near_duplicates(docs, NEAR).filter("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.select(*COLUMNS).filter("doc_id is null"))
+    docs = docs.select(*COLUMNS)
+    kept = near_dedup.near_duplicates(docs).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = docs.join(kept, "doc_id").select("n_rows", *COLUMNS)
+    least = F.min(F.struct(*COLUMNS[1:])).alias("x")
+    repeated = rows.filter("n_rows > 1").groupBy("doc_id").agg(least).select("doc_id", "x.*")
+    return rows.filter("n_rows = 1").drop("n_rows").unionByName(repeated).unionByName(docs.filter("doc_id is null"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,16 +62,23 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows."""
+    """The last stage's rows, in a folder of its own under the checkpoint folder; a failed run leaves none behind."""
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def gone(at: str) -> None:
+        path(at).getFileSystem(conf).delete(path(at), True)
+
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for k, (name, stage) in enumerate(STAGES):
-        at = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
-        if before:  # its rows are no longer needed
-            gone = path(before)
-            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
-        before = at
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            at = f"{folder}/{k}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(at)
+            docs = spark.read.parquet(at)
+            if before:  # its rows are no longer needed
+                gone(before)
+            before = at
+    except BaseException:
+        gone(folder)
+        raise
     return docs
