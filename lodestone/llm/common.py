@@ -18,9 +18,11 @@ OUT_BYTES = 8 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one only where it names none (tests, one machine)."""
+    """The shared folder that the session names; a temporary one only on one machine that names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="lodestone-ckpt-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -49,11 +51,24 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names made of ``names`` that don't clash with those taken (Spark ignores case)."""
+    mark, low = "_", [c.lower() for c in taken]
+    while any(c.startswith(mark) for c in low):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Python strings of an Arrow column; null is the empty text."""
     return ["" if t is None else t for t in column.to_pylist()]
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by place: ``mapInArrow`` can't take names that hold a dot."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def sliced(batch: pa.RecordBatch, name: str, most: int = OUT_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose column ``name`` holds about ``most`` bytes each (one row at least)."""
     col = batch.column(batch.schema.get_field_index(name))

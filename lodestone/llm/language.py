@@ -19,6 +19,7 @@ alphabet.  Without any row of known language nothing is accepted.  Repeated rows
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import cut, map_slices, texts_of
+from lodestone.llm.common import cut, fresh, map_slices, texts_of
 from lodestone.llm.hashing import WORD, Buffer, sums_between
 
 #: Tables of at most so many rows are broadcast; larger ones are joined by their key.
@@ -92,8 +93,9 @@ def fit(docs: DataFrame, p: Params = Params(), *, text_col: str = "text", lang_c
                     own += np.bincount(h[a[0] : b[0]], minlength=len(own)) / max(1, len(text)) ** 0.5
         yield pa.record_batch([pa.array(list(total), pa.string()), pa.array([x.astype(np.float64).tobytes() for x in total.values()], pa.binary())], names=["lang", "counts"])
 
-    # One partition: the sample is bounded, and so is what reaches the driver.
-    got = rows.coalesce(8).mapInArrow(counts, "lang string, counts binary").collect()
+    # The whole table is filtered in full parallelism; the bounded sample is then counted by eight tasks, so that
+    # eight tables a language reach the driver.
+    got = rows.repartition(8).mapInArrow(counts, "lang string, counts binary").collect()
     langs = sorted({r[0] for r in got})
     if not langs:
         return Likelihood(["und"], np.zeros((1 << p.bits, 1)), p)
@@ -108,7 +110,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fuse(model: Likelihood, loglik: np.ndarray, letters: np.ndarray, host: np.ndarray, suffix: np.ndarray, corpus: np.ndarray, declared: np.ndarray, has: np.ndarray, by_declared: np.ndarray) -> np.ndarray:
+def fuse(model: Likelihood, loglik: np.ndarray, host: np.ndarray, suffix: np.ndarray, corpus: np.ndarray, declared: np.ndarray, has: np.ndarray, by_declared: np.ndarray) -> np.ndarray:
     """Posteriors, from soft counts by language that still hold each row's own share.
 
     ``host``, ``suffix``, ``declared``: counts of each row's host, suffix and declaration; ``corpus``: of all rows;
@@ -128,55 +130,72 @@ def fuse(model: Likelihood, loglik: np.ndarray, letters: np.ndarray, host: np.nd
     return softmax(loglik + np.log(h) + odds)
 
 
-def identify(df: DataFrame, model: Likelihood, *, text: Column, host: Column, suffix: Column, declared: Column) -> DataFrame:
+def identify(df: DataFrame, model: Likelihood, *, text: Column, host: Column, suffix: Column, declared: Column, keep: list[str] | None = None) -> DataFrame:
     """``df`` with ``lang_id`` (``und`` if not accepted), ``lang_best``, ``lang_confidence`` and ``lang_accepted``.
 
-    Columns of ``df`` by these names give way.  The rows are read twice: once for the counts, once for the judgement.
+    ``keep``: the columns of ``df`` that the result has (all of them).  Columns by the four names give way; any other
+    name may stand in ``df``.  The rows are read twice: once for the counts, once for the judgement.  Likelihoods are
+    computed before the counts are joined: what isn't kept, as a page's text, is not carried along.
     """
     new = ["lang_id", "lang_best", "lang_confidence", "lang_accepted"]
     df = df.drop(*new)
+    own = df.columns if keep is None else list(keep)
+    t, h, s, d, lik, letters, hv, sv, dv = fresh(df.columns, "t", "h", "s", "d", "lik", "letters", "hv", "sv", "dv")
+    held = fresh(df.columns, *(f"c{i}" for i in range(len(own))))  # mapInArrow can't take names that hold a dot
     langs, sent = model.langs, df.sparkSession.sparkContext.broadcast(model)
     clean = lambda c: F.coalesce(c, F.lit(""))
-    evidence = {"_t": clean(text), "_h": clean(host), "_s": clean(suffix), "_d": clean(declared)}
+    evidence = [clean(text).alias(t), clean(host).alias(h), clean(suffix).alias(s), clean(declared).alias(d)]
     names = [f"q{k}" for k in range(len(langs))]
 
     def soft(part: pa.RecordBatch) -> pa.RecordBatch:
         q = softmax(sent.value.of(texts_of(part.column(0)))[0])
-        return pa.record_batch([*part.columns[1:], *(pa.array(q[:, k]) for k in range(q.shape[1]))], names=["_h", "_s", "_d", *names])
+        return pa.record_batch([*part.columns[1:], *(pa.array(q[:, k]) for k in range(q.shape[1]))], names=[h, s, d, *names])
 
-    ddl = "_h string, _s string, _d string, " + ", ".join(f"{c} double" for c in names)
+    ddl = f"{h} string, {s} string, {d} string, " + ", ".join(f"{c} double" for c in names)
     # Sums of doubles depend on their order: whole millionths don't.
     whole = [F.sum(F.round(F.col(c) * 1e6).cast("long")).alias(c) for c in names]
-    keyed = cut(df.select(*(c.alias(n) for n, c in evidence.items())).mapInArrow(map_slices(soft, "_t", 1 << 20), ddl).groupBy("_h", "_s", "_d").agg(*whole))
-    total = lambda rows, *by: rows.groupBy(*by).agg(*(F.sum(c).alias(c) for c in names))
+    keyed = cut(df.select(*evidence).mapInArrow(map_slices(soft, t, 1 << 20), ddl).groupBy(h, s, d).agg(*whole))
+    total = lambda *by: keyed.groupBy(*by).agg(*(F.sum(c).alias(c) for c in names))
     vector = F.array(*(F.col(c) / 1e6 for c in names))
-    tables = {
-        "_h": cut(total(keyed, "_h", "_s").select("_h", "_s", vector.alias("_hv"))),
-        "_s": cut(total(keyed, "_s").select("_s", vector.alias("_sv"))),
-        "_d": cut(total(keyed, "_d").select("_d", vector.alias("_dv"))),
-    }
+    tables = {(h, s): cut(total(h, s).select(h, s, vector.alias(hv))), (s,): cut(total(s).select(s, vector.alias(sv))), (d,): cut(total(d).select(d, vector.alias(dv)))}
     one = lambda rows: np.array([x or 0 for x in rows.agg(*(F.sum(c) for c in names)).first()], dtype=np.float64) / 1e6
-    corpus, said = one(keyed), one(keyed.filter("_d <> ''"))
-    rows = df.select("*", *(c.alias(n) for n, c in evidence.items()))
-    for key, table in tables.items():
-        small = table.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS  # beyond it: a join by the key, whose hot partitions Spark splits
-        rows = rows.join(F.broadcast(table) if small else table, ["_h", "_s"] if key == "_h" else [key])
-    at = {n: k for k, n in enumerate(rows.columns)}
-    keep, out_names = [at[c] for c in df.columns], [*df.columns, *new]
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in zip(new, (T.StringType(), T.StringType(), T.DoubleType(), T.BooleanType())))])
+    corpus, said = one(keyed), one(keyed.filter(F.col(d) != ""))
 
-    def judge(part: pa.RecordBatch) -> pa.RecordBatch:
-        m = sent.value
-        loglik, letters = m.of(texts_of(part.column(at["_t"])))
-        mat = lambda c: part.column(at[c]).flatten().to_numpy().reshape(part.num_rows, -1)
-        has = np.array([bool(x) for x in part.column(at["_d"]).to_pylist()], dtype=bool)
-        post = fuse(m, loglik, letters, mat("_hv"), mat("_sv"), corpus, mat("_dv"), has, said)
-        best, top = post.argmax(axis=1), post.max(axis=1)
-        good = (letters > 0) & (top >= m.p.least) & (m.langs != ["und"])
-        lang = [langs[k] for k in best]
-        return pa.record_batch([*(part.column(k) for k in keep), pa.array([x if g else "und" for x, g in zip(lang, good)]), pa.array(lang), pa.array(top), pa.array(good)], names=out_names)
+    def likely(part: pa.RecordBatch) -> pa.RecordBatch:
+        loglik, n = sent.value.of(texts_of(part.column(len(own))))
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, loglik.size + 1, loglik.shape[1], dtype=np.int32)), pa.array(loglik.ravel()))
+        return pa.record_batch([*part.columns[: len(own)], *part.columns[len(own) + 1 :], vectors, pa.array(n)], names=[*held, h, s, d, lik, letters])
 
-    return rows.mapInArrow(map_slices(judge, "_t", 1 << 20), schema)
+    fields = [df.schema[c] for c in own]
+    more = [T.StructField(c, T.StringType()) for c in (h, s, d)] + [T.StructField(lik, T.ArrayType(T.DoubleType())), T.StructField(letters, T.DoubleType())]
+    inner = [T.StructField(c, f.dataType) for c, f in zip(held, fields)]
+    rows = df.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(own, held)), *evidence).mapInArrow(map_slices(likely, t, 1 << 20), T.StructType([*inner, *more]))
+    for key, table in tables.items():
+        n = table.limit(SMALL_ROWS + 1).count()
+        if n == 1:  # one key for all rows: nothing to join
+            rows = rows.withColumn(table.columns[-1], F.array(*(F.lit(x) for x in table.first()[-1])))
+        else:  # beyond SMALL_ROWS: a join by the key, whose hot partitions Spark splits
+            rows = rows.join(F.broadcast(table) if n <= SMALL_ROWS else table, list(key))
+    rows = rows.select(*held, d, lik, letters, hv, sv, dv)
+    out_names = [*own, *new]
+    schema = T.StructType([*fields, *(T.StructField(n, k) for n, k in zip(new, (T.StringType(), T.StringType(), T.DoubleType(), T.BooleanType())))])
+
+    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for part in batches:
+            if not part.num_rows:
+                continue
+            declares, ll, n, *counts = part.columns[len(own) :]
+            mat = lambda c: c.flatten().to_numpy().reshape(part.num_rows, -1)
+            has = np.array([bool(x) for x in declares.to_pylist()], dtype=bool)
+            host_counts, suffix_counts, declared_counts = (mat(c) for c in counts)
+            post = fuse(m, mat(ll), host_counts, suffix_counts, corpus, declared_counts, has, said)
+            best, top = post.argmax(axis=1), post.max(axis=1)
+            good = (n.to_numpy() > 0) & (top >= m.p.least) & (m.langs != ["und"])
+            lang = [langs[k] for k in best]
+            yield pa.record_batch([*part.columns[: len(own)], pa.array([x if g else "und" for x, g in zip(lang, good)]), pa.array(lang), pa.array(top), pa.array(good)], names=out_names)
+
+    return rows.mapInArrow(judge, schema)
 
 
 def page_text(html: Column) -> Column:
@@ -202,12 +221,13 @@ def declared_in(html: Column) -> Column:
 
 
 def identify_pages(pages: DataFrame, model: Likelihood) -> DataFrame:
-    """``identify`` over raw pages (url, html)."""
+    """``identify`` over raw pages (url, html) for all their columns but html; ``host`` and ``declared`` are added."""
     url, html = F.col("url"), F.col("html")
-    return identify(pages, model, text=page_text(html), host=host_of(url), suffix=suffix_of(url), declared=declared_in(html))
+    rows = pages.drop("host", "declared").withColumns({"host": host_of(url), "declared": declared_in(html)})
+    return identify(rows, model, text=page_text(html), host=F.col("host"), suffix=suffix_of(url), declared=F.col("declared"), keep=[c for c in rows.columns if c != "html"])
 
 
 def op1_bayesian_language(spark, sf_dir: str) -> DataFrame:
     pages, docs = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "documents"))
     found = identify_pages(pages.select("page_id", "url", "html"), fit(docs))
-    return found.select("page_id", host_of(F.col("url")).alias("host"), declared_in(F.col("html")).alias("declared"), F.col("lang_id").alias("lang"), F.round("lang_confidence", 6).alias("confidence"), F.col("lang_accepted").alias("accepted"))
+    return found.select("page_id", "host", "declared", F.col("lang_id").alias("lang"), F.round("lang_confidence", 6).alias("confidence"), F.col("lang_accepted").alias("accepted"))

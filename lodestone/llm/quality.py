@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import map_slices, texts_of
+from lodestone.llm.common import map_slices, plain, texts_of
 from lodestone.llm.hashing import SPACE, Buffer, sums_between
 
 FEATURES = "label int, bucket binary, weight binary"
@@ -148,9 +148,9 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     def one(part: pa.RecordBatch) -> pa.RecordBatch:
         s = sent.value.scores(texts_of(part.column(text_at)))
-        return pa.record_batch([*part.columns, pa.array(s, pa.float64())], names=[*part.schema.names, out_col])
+        return pa.record_batch([*part.columns, pa.array(s, pa.float64())], names=ddl.names)
 
-    return docs.mapInArrow(map_slices(one, text_col, 1 << 20), ddl)
+    return plain(docs).mapInArrow(map_slices(one, f"c{text_at}", 1 << 20), ddl)
 
 
 def op4_subword_quality(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def test_pages(spark, model):
 def test_prior_of_the_host_decides_where_text_does_not(model):
     flat = np.zeros((1, 3))
     corpus, host = np.array([100.0, 100, 100]), np.array([[60.0, 0, 0]])
-    args = dict(letters=np.ones(1), suffix=host * 1.0, corpus=corpus, declared=np.zeros((1, 3)), by_declared=np.zeros(3))
+    args = dict(suffix=host * 1.0, corpus=corpus, declared=np.zeros((1, 3)), by_declared=np.zeros(3))
     said = language.fuse(model, flat, host=host, has=np.array([False]), **args)
     assert said.argmax() == 0 and said.max() > 0.6
     # A row's own share gives it no prior: a host of this row alone says nothing.
@@ -53,6 +53,60 @@ def test_odd_rows(spark, odd, model):
         assert all(r.lang_id == "und" for r in rows if not (r.text or "").strip())
 
 
+def test_clashing_columns(spark, model):
+    from pyspark.sql import functions as F
+
+    names = ["_t", "_h", "_s", "_d", "_hv", "_sv", "_dv", "__h", "lang_id", "Q0", "a.b"]
+    df = spark.createDataFrame([(*[f"{n}{i}" for n in names], TEXTS["fr"]) for i in range(5)], [*names, "body"])
+    args = dict(text=F.col("body"), host=F.col("_h"), suffix=F.col("_s"), declared=F.col("_d"))
+    out = language.identify(df, model, **args)
+    assert out.columns == [*[n for n in names if n != "lang_id"], "body", "lang_id", "lang_best", "lang_confidence", "lang_accepted"]
+    assert sorted((r["_t"], r["__h"], r["a.b"], r["lang_id"]) for r in out.collect()) == [(f"_t{i}", f"__h{i}", f"a.b{i}", "fr") for i in range(5)]
+    assert language.identify(df, model, **args, keep=["_h"]).columns == ["_h", "lang_id", "lang_best", "lang_confidence", "lang_accepted"]
+
+
+def brute(model, rows):
+    """The posterior of each page from its neighbours' counts, one page after the other."""
+    p, langs = model.p, model.langs
+    lik = [model.of([text])[0][0] for _, _, _, text in rows]
+    soft = [np.exp(x - x.max()) / np.exp(x - x.max()).sum() for x in lik]
+    out = []
+    for i, (host, suffix, said, _) in enumerate(rows):
+        others = [j for j in range(len(rows)) if j != i]
+        count = lambda test: sum((soft[j] for j in others if test(rows[j])), np.zeros(len(langs)))
+        base = count(lambda r: True) + 1
+        base /= base.sum()
+        mid = count(lambda r: r[1] == suffix)
+        mid = (mid + p.suffix * base) / (mid.sum() + p.suffix)
+        top = count(lambda r: r[:2] == (host, suffix))
+        top = (top + p.host * mid) / (top.sum() + p.host)
+        post = lik[i] + np.log(top)
+        if said:
+            by, every = count(lambda r: r[2] == said), count(lambda r: r[2] != "")
+            rate = (by.sum() + 1) / (every.sum() + 2)
+            post = post + np.log((by + p.declared * rate) / (every + p.declared))
+        post = np.exp(post - post.max())
+        out.append(post / post.sum())
+    return out
+
+
+def test_posterior_equals_brute_force(spark, model):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(200):
+        lang = ["en", "fr", "de"][rng.integers(3)]
+        words = rng.choice(TEXTS[lang].split(), rng.integers(0, 4)).tolist()
+        rows.append((f"h{rng.integers(9)}", ["fr", "com", ""][rng.integers(3)], ["", lang, "en"][rng.integers(3)], " ".join(words)))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, host string, suffix string, said string, body string")
+    out = language.identify(df, model, text=F.col("body"), host=F.col("host"), suffix=F.col("suffix"), declared=F.col("said"), keep=["id"])
+    got = {r.id: (r.lang_best, r.lang_confidence) for r in out.collect()}
+    for i, post in enumerate(brute(model, rows)):
+        assert abs(got[i][1] - post.max()) < 1e-4, rows[i]
+        assert got[i][0] == model.langs[post.argmax()] or np.sort(post)[-1] - np.sort(post)[-2] < 1e-4
+
+
 def test_nothing_known(spark, odd):
     from pyspark.sql import functions as F
 
