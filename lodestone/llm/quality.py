@@ -25,17 +25,18 @@ from pyspark.sql import types as T
 from lodestone.llm.common import map_slices, plain, texts_of
 from lodestone.llm.hashing import SPACE, Buffer, sums_between
 
-FEATURES = "label int, bucket binary, weight binary"
+FEATURES = "k string, label int, bucket binary, weight binary"
 
 
 @dataclass(frozen=True)
 class Shape:
-    """Bucket count, vector length, n-gram lengths; the bound on training rows and the training schedule."""
+    """Bucket count, vector length, n-gram lengths; the bounds on the training sample and the training schedule."""
 
     bits: int = 15
     dim: int = 12
     grams: tuple[int, ...] = (2, 3, 4)
     max_rows: int = 3000
+    max_buckets: int = 8192  # labelled texts of more distinct buckets are left out of the sample (not out of scoring)
     epochs: int = 12
     batch: int = 64
     rate: float = 8.0
@@ -126,17 +127,23 @@ def held_out(id_col: str, mod: int, rest: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", shape: Shape = Shape()) -> Model:
-    """A model of at most ``shape.max_rows`` labelled rows that aren't held out."""
+    """A model of at most ``shape.max_rows`` labelled rows that aren't held out.
+
+    What reaches the driver is bounded by rows and by bytes a row; of texts that repeat an id one is taken.
+    """
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col, 3, 1))
-    sample = known.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64("k"), "label").limit(shape.max_rows)
-    joined = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).join(F.broadcast(sample), "k").select("label", "text")
+    pairs = known.select(F.col(id_col).cast("string").alias("k"), F.col(label_col).cast("int").alias("label")).distinct()
+    sample = pairs.orderBy(F.xxhash64("k"), "label").limit(shape.max_rows)
+    joined = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("text")).join(F.broadcast(sample), "k").select("k", "label", "text")
 
     def rows(part: pa.RecordBatch) -> pa.RecordBatch:
-        own = sparse_rows(texts_of(part.column(1)), shape)
-        return pa.record_batch([part.column(0), pa.array([a for a, _ in own], pa.binary()), pa.array([b for _, b in own], pa.binary())], names=["label", "bucket", "weight"])
+        own = sparse_rows(texts_of(part.column(2)), shape)
+        keep = pa.array([i for i, (a, _) in enumerate(own) if len(a) <= 2 * shape.max_buckets], pa.int64())
+        part = pa.record_batch([*part.columns[:2], pa.array([a for a, _ in own], pa.binary()), pa.array([b for _, b in own], pa.binary())], names=["k", "label", "bucket", "weight"])
+        return part.take(keep)
 
-    got = joined.mapInArrow(map_slices(rows, "text", 1 << 20), FEATURES).limit(2 * shape.max_rows).collect()  # ids may repeat
-    data = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in got)
+    each = joined.mapInArrow(map_slices(rows, "text", 1 << 20), FEATURES).groupBy("k", "label").agg(F.min(F.struct("bucket", "weight")).alias("x"))
+    data = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in each.select("label", "x.*").toLocalIterator())
     return fit([(y, np.frombuffer(a, dtype=np.uint16).astype(np.int64), np.frombuffer(b, dtype=np.float32)) for y, a, b in data], shape)
 
 

@@ -4,8 +4,10 @@ A word's vector is the sum of the vectors of three hashes: the whole word's and
 6 bytes, so inflected forms of a known stem are met too.  Filters of several widths run over the words,
 each filter's largest response in the document goes to a logistic layer, and numpy fits everything by
 stochastic gradient descent (Adagrad steps) on a bounded sample of labelled rows.  Thresholds are
-calibrated by language on further labelled rows; the language is what the text's own function words say
-(the declared one is never an input), and the score is shifted so that 0.5 is the threshold.
+calibrated by language on all labelled rows that aren't held out: rows of the sample are scored by a model of
+the sample's other parts, all further ones by the model itself, and counts by score are summed.  The language is
+what the text's own function words say (the declared one is never an input), and the score is shifted so that
+0.5 is the threshold.
 
 Whole texts are scored, whatever their length.  Null and empty texts have no word: one padding position
 stands for them.  Without labelled rows of both classes every score is below 0.5.  Labels, language,
@@ -15,10 +17,12 @@ as not held out; only the named columns are read.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +36,10 @@ FUNCTION_WORDS = {
     "fr": "le les des du et est une dans qui que pour pas sur au avec ce il sont par ne aux",
     "de": "der die und das den von zu mit sich des auf für ist nicht ein eine dem auch als an",
     "es": "el los las del y por con una su para es al lo como más pero sus le ha este sí",
+    "it": "il di che è un per non sono della una nel alla più dei anche gli come del questo ma",
+    "pt": "o que não uma os em para com do da dos das se na no mais por ao ele foi",
+    "nl": "het een van en dat niet zijn op te voor met aan er maar om dan zou wat ook naar",
+    "pl": "się nie na jest że do to jak ale po co tak za od są przez jego dla tylko może",
 }
 LANGS = ["", *FUNCTION_WORDS]
 
@@ -44,8 +52,10 @@ class Shape:
     dim: int = 8
     widths: tuple[int, ...] = (1, 2, 3)
     filters: int = 8
-    max_rows: int = 1500  # of each class, for the filters; calibration takes as many rows again, as they come
-    max_words: int = 20_000  # labelled rows of more words are left out of the sample (not out of scoring)
+    max_rows: int = 2000  # of each class, for the filters
+    max_words: int = 4000  # labelled texts of more words are left out of the sample (not out of calibration or scoring)
+    folds: int = 3  # parts of the sample that are scored by models of the others
+    least: int = 12  # rows of either class that a language needs for a threshold of its own
     epochs: int = 8
     batch: int = 32
     rate: float = 0.08
@@ -132,6 +142,17 @@ class Net:
     def logits(self, words: Words) -> np.ndarray:
         return self.pooled(words).astype(np.float64) @ self.out.astype(np.float64) + self.bias
 
+    def logits_of(self, docs: list[np.ndarray]) -> np.ndarray:
+        """The logits of texts given as word buckets."""
+        gap, out = max(self.shape.widths) - 1, [np.empty(0)]
+        pad = np.zeros((gap, 3), dtype=np.int32)
+        for a in range(0, len(docs), 64):
+            part = [d if len(d) else np.zeros((1, 3), dtype=np.int32) for d in docs[a : a + 64]]
+            size = np.array([len(d) for d in part])
+            start = np.concatenate([[0], np.cumsum(size + gap)[:-1]])
+            out.append(self.logits(Words(np.concatenate([x for d in part for x in (d, pad)]), start, start + size, np.zeros(len(part), dtype=int))))
+        return np.concatenate(out)
+
     def scores(self, texts: list[str]) -> np.ndarray:
         words = words_of(texts, self.shape)
         return 1 / (1 + np.exp(-np.clip(self.logits(words) - self.shift[words.lang], -30, 30)))
@@ -200,38 +221,31 @@ def fit(rows: list[tuple[int, np.ndarray]], shape: Shape) -> Net:
     return net
 
 
-def threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """The logit above which the most rows are told right by F1, in the middle of the gap there."""
+def threshold(z: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> float:
+    """The logit above which the most rows are told right by F1, in the middle of the gap there, from counts by logit."""
     order = np.argsort(-z, kind="stable")
-    z, y = z[order], y[order]
-    hits = np.cumsum(y)
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    z, clean, toxic = z[order], clean[order], toxic[order]
+    hits = np.cumsum(toxic)
+    f1 = 2 * hits / (hits + np.cumsum(clean) + toxic.sum())
     f1[:-1][z[:-1] == z[1:]] = -1
     k = int(f1.argmax())
     return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k] - 1)
 
 
-def calibrate(net: Net, rows: list[tuple[int, np.ndarray, int]], least: int = 12) -> None:
-    """Thresholds by language; languages with fewer than ``least`` rows of a class take the common one."""
-    if not rows:
-        return
-    gap = max(net.shape.widths) - 1
-    docs = [r[1] if len(r[1]) else np.zeros((1, 3), dtype=np.int32) for r in rows]
-    size = np.array([len(d) for d in docs])
-    start = np.concatenate([[0], np.cumsum(size + gap)[:-1]])
-    pad, z = np.zeros((gap, 3), dtype=np.int32), []
-    for a in range(0, len(docs), 256):
-        part = docs[a : a + 256]
-        s = start[a : a + 256] - start[a]
-        z.append(net.logits(Words(np.concatenate([x for d in part for x in (d, pad)]), s, s + size[a : a + 256], np.zeros(len(part), dtype=int))))
-    z, y, lang = np.concatenate(z), np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
-    enough = lambda m: min(y[m].sum(), (1 - y[m]).sum()) >= least
-    if not enough(np.ones(len(y), dtype=bool)):
+#: Logits are counted in steps of a sixteenth.
+STEP = 16
+
+
+def calibrate(net: Net, counts: list[tuple[int, int, int, int]]) -> None:
+    """Thresholds by language from (language, label, logit in steps, rows); languages of few rows take the common one."""
+    if not counts:
         return
-    net.shift[:] = threshold(z, y)
-    for k in range(len(LANGS)):
-        if enough(lang == k):
-            net.shift[k] = threshold(z[lang == k], y[lang == k])
+    lang, y, z, n = np.array(counts, dtype=np.int64).T
+    for k in (None, *range(len(LANGS))):
+        own = np.ones(len(y), dtype=bool) if k is None else lang == k
+        clean, toxic = n * (y == 0) * own, n * (y == 1) * own
+        if min(clean.sum(), toxic.sum()) >= net.shape.least:
+            net.shift[slice(None) if k is None else k] = threshold(z[own] / STEP, clean[own], toxic[own])
 
 
 def held_out(id_col: str, mod: int = 5, rest: int = 0):
@@ -239,28 +253,51 @@ def held_out(id_col: str, mod: int = 5, rest: int = 0):
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", shape: Shape = Shape()) -> Net:
-    """Filters from ``max_rows`` rows of either class, thresholds from ``2 * max_rows`` others as they come."""
-    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("label"))
+    """Filters from ``max_rows`` rows of either class, thresholds from all labelled rows that aren't held out.
+
+    What reaches the driver is bounded by rows and by words a row, and by counts by logit; of texts that repeat an id
+    one goes into the sample.
+    """
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("string").alias("k"), F.col(label_col).cast("int").alias("label")).distinct()
     h = F.xxhash64("k")
-    kind = F.when(h % 3 == 0, F.lit(2)).otherwise(F.col("label"))
-    take = [known.withColumn("kind", kind).filter(F.col("kind") == k).orderBy(h, "label").limit(shape.max_rows * (2 if k == 2 else 1)) for k in range(3)]
-    sample = take[0].unionByName(take[1]).unionByName(take[2])
-    joined = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).join(F.broadcast(sample), "k").select("kind", "label", "text")
+    sample = known.filter("label = 0").orderBy(h).limit(shape.max_rows).unionByName(known.filter("label = 1").orderBy(h).limit(shape.max_rows))
+    texts = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("text"))
 
     def rows(part: pa.RecordBatch) -> pa.RecordBatch:
         w = words_of(texts_of(part.column(2)), shape)
         out: list[list] = [[], [], [], []]
-        for kind, label, a, b, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), w.start, w.end, w.lang):
+        for k, label, a, b, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), w.start, w.end, w.lang):
             if b - a <= shape.max_words:
-                for col, v in zip(out, (kind, label, int(lang), w.hashes[a:b].astype(np.uint16).tobytes())):
+                for col, v in zip(out, (k, label, int(lang), w.hashes[a:b].astype(np.uint16).tobytes())):
                     col.append(v)
-        return pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["kind", "label", "lang", "words"])
+        return pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int32(), pa.int32(), pa.binary()))], names=["k", "label", "lang", "words"])
+
+    each = texts.join(F.broadcast(sample), "k").select("k", "label", "text").mapInArrow(map_slices(rows, "text", 1 << 20), "k string, label int, lang int, words binary")
+    got = each.groupBy("k", "label").agg(F.min(F.struct("words", "lang")).alias("x")).select("k", "label", "x.lang", "x.words").toLocalIterator()
+    data = sorted((bytes(r[3]), r[1], r[2], r[0]) for r in got)
+    words = [np.frombuffer(d[0], dtype=np.uint16).reshape(-1, 3).astype(np.int32) for d in data]
+    net = fit([(d[1], w) for d, w in zip(data, words)], shape)
+    # Copies are in one part, whatever their order.
+    part_of = [xxhash.xxh64_intdigest(d[0]) % shape.folds for d in data]
+    counts: Counter = Counter()
+    for f in range(shape.folds):
+        own = [i for i, x in enumerate(part_of) if x == f]
+        other = fit([(data[i][1], words[i]) for i, x in enumerate(part_of) if x != f], shape)
+        for i, z in zip(own, other.logits_of([words[i] for i in own])):
+            counts[data[i][2], data[i][1], int(np.round(z * STEP))] += 1
+    taken = docs.sparkSession.createDataFrame([(d[3], d[1]) for d in data], "k string, label int")
+    rest = known.join(F.broadcast(taken), ["k", "label"], "left_anti")
+    sent = docs.sparkSession.sparkContext.broadcast(net)
+
+    def logits(part: pa.RecordBatch) -> pa.RecordBatch:
+        w = words_of(texts_of(part.column(1)), shape)
+        return pa.record_batch([pa.array(w.lang, pa.int32()), part.column(0), pa.array(np.round(sent.value.logits(w) * STEP).astype(np.int64))], names=["lang", "label", "z"])
 
-    got = joined.mapInArrow(map_slices(rows, "text", 1 << 20), "kind int, label int, lang int, words binary").limit(8 * shape.max_rows).collect()
-    data = sorted((r[0], r[1], r[2], bytes(r[3])) for r in got)
-    unpack = lambda b: np.frombuffer(b, dtype=np.uint16).reshape(-1, 3).astype(np.int32)
-    net = fit([(y, unpack(w)) for k, y, _, w in data if k < 2], shape)
-    calibrate(net, [(y, unpack(w), lang) for k, y, lang, w in data if k == 2])
+    if not rest.isEmpty():
+        scored = texts.join(rest, "k").select("label", "text").mapInArrow(map_slices(logits, "text", 1 << 20), "lang int, label int, z long")
+        for r in scored.groupBy("lang", "label", F.least(F.greatest("z", F.lit(-4096)), F.lit(4096)).alias("z")).count().collect():
+            counts[r[0], r[1], r[2]] += r[3]
+    calibrate(net, [(*k, n) for k, n in sorted(counts.items())])
     return net
 
 
