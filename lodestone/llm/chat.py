@@ -8,14 +8,19 @@ before it.  Those repeated turns are masked; each assistant text is a target in
 window whose single new turn is over the budget drops the history and is marked ``over``.
 
 Null role or text counts as empty.  Equal turn numbers keep the order of role and text; repeated rows are
-turns of their own; null turn numbers come first.  An empty table gives an empty result, and only the
-four named columns are read.
+turns of their own; null turn numbers come first.  Rows whose conversation is null are one conversation.  An
+empty table gives an empty result, and only the four named columns are read.
+
+A conversation's turns come sorted to one task (digests over all its turns and the order of its windows need
+that) and stream through it: what is held is a window, the system turn and the last ``history`` turns.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import by_key
+from lodestone.llm.common import sliced
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 _UNESCAPE = re.compile(r"\\(.)", re.S)
@@ -35,70 +40,99 @@ def escape(text: str) -> str:
 
 
 def unescape(text: str) -> str:
-    return _UNESCAPE.sub(r"\1", text)
+    return _UNESCAPE.sub(r"\1", text) if "\\" in text else text
 
 
 def escape_role(role: str) -> str:
     return escape(role).replace("\n", "\\\n")
 
 
-def window_spans(costs: list[int], system: bool, budget: int, history: int) -> list[tuple[int, int, int, bool]]:
-    """(first repeated turn, first new turn, end, over the budget) of each window over turns of these costs.
-
-    ``system``: turn 0 is retained in all windows (and is not part of the history).
-    """
-    sums = np.concatenate([[0], np.cumsum(np.asarray(costs, dtype=np.int64))])
-    kept, first, out = int(sums[1]) if system and costs else 0, int(system), []
-    new = 0
-    while new < len(costs):
-        room = budget - (kept if new else 0)
-        back = new
-        for back in range(max(first, new - history), new + 1) if new else [0]:
-            end = int(np.searchsorted(sums, sums[back] + room, side="right")) - 1
-            if end > new:
-                break
-        over = end <= new
-        end = max(end, new + 1)
-        out.append((back, new, end, over))
-        new = end
-    return out
-
-
 class Counter:
+    """Token counts by a tokenizers file (.json) or by the ranks of the same kind of vocabulary (.tiktoken), which counts faster."""
+
     _open: dict[str, Counter] = {}
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, pattern: str) -> None:
+        self.ranks = None
+        if path.endswith(".tiktoken"):
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.ranks = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        else:
+            from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+            self.tok = Tokenizer.from_file(path)
+            self.tok.encode_special_tokens = True
 
     @classmethod
-    def of(cls, path: str) -> Counter:
+    def of(cls, path: str, pattern: str = "") -> Counter:
         if path not in cls._open:
-            cls._open[path] = cls(path)
+            cls._open[path] = cls(path, pattern)
         return cls._open[path]
 
     def __call__(self, texts: list[str]) -> list[int]:
+        if self.ranks is not None:
+            return [len(self.ranks.encode_ordinary(t)) for t in texts]
         return [len(e) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
 
-def format_conversation(turns: list[tuple[str, str]], costs: list[int], budget: int, history: int) -> list[tuple[int, int, str, list[int], list[int], bool]]:
-    """Windows: first new turn, end, formatted text, starts and ends of the loss mask (code points), over."""
-    out = []
-    system = bool(turns) and turns[0][0] == "system"
-    for back, new, end, over in window_spans(costs, system, budget, history):
-        rows = [*([0] if system and new else []), *range(back, end)]
+Window = tuple[int, int, int, str, list[int], list[int], bool]
+
+
+class Windows:
+    """The windows of one conversation, from its turns in order; ``add`` gives those that a turn completes.
+
+    A window is (first new turn, end, repeated turns, formatted text, starts and ends of the loss mask in code
+    points, over the budget).  Prefix sums over the turns held say how many of the repeated ones there is room for.
+    """
+
+    def __init__(self, budget: int, history: int) -> None:
+        self.budget, self.history = budget, history
+        self.system: tuple[str, str, int] | None = None
+        self.back: deque[tuple[str, str, int]] = deque(maxlen=history)  # the last turns, but the system's
+        self.repeated: list[tuple[str, str, int]] = []
+        self.new: list[tuple[str, str, int]] = []
+        self.first = self.n = self.room = 0
+
+    def add(self, role: str, text: str, cost: int) -> list[Window]:
+        turn, out = (role, text, cost), []
+        if self.n == 0:
+            self.room = self.budget
+        elif cost > self.room:
+            out += self.finish()
+            self.first, self.new = self.n, []
+            self.room = self.budget - (self.system[2] if self.system else 0)
+            past = list(self.back)
+            sums = np.concatenate([[0], np.cumsum([c for _, _, c in past[::-1]], dtype=np.int64)])
+            fits = int(np.searchsorted(sums, self.room - cost, side="right")) - 1 if cost <= self.room else 0
+            self.repeated = past[len(past) - fits :]
+            self.room -= int(sums[fits])
+        self.new.append(turn)
+        self.room -= cost
+        if self.n == 0 and role == "system":
+            self.system = turn
+        elif self.history:
+            self.back.append(turn)
+        self.n += 1
+        return out
+
+    def finish(self) -> list[Window]:
+        """The window that is still open."""
+        if not self.new:
+            return []
+        head = [self.system] if self.system and self.first else []
+        repeated = [*head, *self.repeated]
         parts, n, starts, ends = [], 0, [], []
-        for k in rows:
-            head, body = f"{START}{escape_role(turns[k][0])}\n", escape(turns[k][1])
-            if k >= new and turns[k][0] == "assistant":
-                starts.append(n + len(head))
-                ends.append(n + len(head) + len(body))
-            parts += (head, body, END)
-            n += len(head) + len(body) + len(END)
-        out.append((new, end, "".join(parts), starts, ends, over))
-    return out
+        for k, (role, text, _) in enumerate([*repeated, *self.new]):
+            mark, body = f"{START}{escape_role(role)}\n", escape(text)
+            if k >= len(repeated) and role == "assistant":
+                starts.append(n + len(mark))
+                ends.append(n + len(mark) + len(body))
+            parts += (mark, body, END)
+            n += len(mark) + len(body) + len(END)
+        return [(self.first, self.first + len(self.new), len(repeated), "".join(parts), starts, ends, self.room < 0)]
 
 
 WINDOWS = "conv_id long, window int, first_turn int, end_turn int, n_repeated int, text string, loss_starts array<int>, loss_ends array<int>, over boolean"
@@ -108,72 +142,102 @@ _WINDOWS_ARROW = pa.schema([
 ])
 
 
-def _sorted(df: DataFrame) -> DataFrame:
-    """Rows of a conversation together and in order; a sort spills, so no conversation is gathered in the JVM."""
-    return df.repartition("conv_id").sortWithinPartitions("conv_id", *[c for c in df.columns if c != "conv_id"])
+class Rows:
+    """Rows gathered into batches of about 4 MB."""
+
+    def __init__(self, schema: pa.Schema) -> None:
+        self.schema, self.cols, self.size = schema, [[] for _ in schema], 0
+
+    def add(self, row: tuple, size: int) -> None:
+        for col, v in zip(self.cols, row):
+            col.append(v)
+        self.size += size
+
+    def batches(self, least: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+        if self.cols[0] and self.size >= least:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(self.cols, self.schema)], schema=self.schema)
+            self.cols, self.size = [[] for _ in self.schema], 0
 
 
-def format_windows(df: DataFrame, tokenizer: str, *, budget: int = 512, history: int = 2) -> DataFrame:
-    """The windows of each conversation of ``df`` (conv_id, turn, role, text).
+_NONE = object()
 
-    The tokens of the template's marks count with the turn.  A conversation is held in one task while its
-    windows are cut: its texts must be read in order whatever the method.
+
+def format_windows(df: DataFrame, tokenizer: str, *, budget: int = 512, history: int = 2, pattern: str = "") -> DataFrame:
+    """The windows of each conversation of ``df`` (conv_id, turn, role, text), each conversation's together and in order.
+
+    The tokens of the template's marks count with the turn.  ``pattern``: how ranks (.tiktoken) split a text.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = Counter.of(tokenizer)
-        out: list[list] = [[] for _ in _WINDOWS_ARROW]
-        size = 0
-        for t in by_key(batches):
-            turns = list(zip(t.column(2).to_pylist(), t.column(3).to_pylist()))
-            costs = count([f"{START}{escape_role(r)}\n{escape(x)}{END}" for r, x in turns])
-            conv, last = t.column(0)[0].as_py(), 0
-            for k, (first, end, text, starts, ends, over) in enumerate(format_conversation(turns, costs, budget, history)):
-                repeated = text.count(START) - (end - first)
-                for col, v in zip(out, (conv, k, first, end, repeated, text, starts, ends, over)):
-                    col.append(v)
-                size += len(text)
-            if size > 4 << 20:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, _WINDOWS_ARROW)], schema=_WINDOWS_ARROW)
-                out, size = [[] for _ in _WINDOWS_ARROW], 0
-        if out[0]:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, _WINDOWS_ARROW)], schema=_WINDOWS_ARROW)
+        count, out = Counter.of(tokenizer, pattern), Rows(_WINDOWS_ARROW)
+        key, made, k = _NONE, Windows(budget, history), 0
+
+        def put(windows: list[Window]) -> None:
+            nonlocal k
+            for w in windows:
+                out.add((key, k, *w), len(w[3]))
+                k += 1
+
+        for batch in batches:
+            for part in sliced(batch, "text", 1 << 20):
+                convs, roles, texts = (part.column(c).to_pylist() for c in (0, 2, 3))
+                costs = count([f"{START}{escape_role(r)}\n{escape(x)}{END}" for r, x in zip(roles, texts)])
+                for conv, role, text, cost in zip(convs, roles, texts, costs):
+                    if conv != key or key is _NONE:
+                        put(made.finish())
+                        key, made, k = conv, Windows(budget, history), 0
+                    put(made.add(role, text, cost))
+                    yield from out.batches()
+        put(made.finish())
+        yield from out.batches(0)
 
     only = df.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text")
     )
-    return _sorted(only).mapInArrow(run, WINDOWS)
+    # A sort spills: no conversation is gathered in the JVM.
+    return only.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, WINDOWS)
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
 _DIGESTS_ARROW = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_windows", pa.int64())])
 
 
-def read_back(windows: DataFrame) -> DataFrame:
-    """Digests of the turns and of the text under the loss mask, parsed from the formatted windows alone."""
+def read_back(windows: DataFrame, *, together: bool = False) -> DataFrame:
+    """Digests of the turns and of the text under the loss mask, parsed from the formatted windows alone.
+
+    ``together``: each conversation's windows stand together and in order, as ``format_windows`` gives them.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in _DIGESTS_ARROW]
-        for t in by_key(batches):
-            turns, loss = hashlib.sha256(), hashlib.sha256()
-            n = loss_chars = chars = 0
-            for repeated, text, starts, ends in zip(*(t.column(c).to_pylist() for c in ("n_repeated", "text", "loss_starts", "loss_ends"))):
+        out, key = Rows(_DIGESTS_ARROW), _NONE
+        turns, loss = hashlib.sha256(), hashlib.sha256()
+        n = loss_chars = chars = k = 0
+        for batch in batches:
+            for conv, repeated, text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "n_repeated", "text", "loss_starts", "loss_ends"))):
+                if conv != key or key is _NONE:
+                    if key is not _NONE:
+                        out.add((key, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, k), 200)
+                    key, turns, loss = conv, hashlib.sha256(), hashlib.sha256()
+                    n = loss_chars = chars = k = 0
+                k += 1
                 chars += len(text)
-                for k, m in enumerate(_TURN.finditer(text)):
-                    if k >= repeated:
+                for i, m in enumerate(_TURN.finditer(text)):
+                    if i >= repeated:
                         turns.update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode("utf-8", "surrogatepass"))
                         n += 1
                 for a, b in zip(starts, ends):
                     own = unescape(text[a:b])
                     loss_chars += len(own)
                     loss.update(own.encode("utf-8", "surrogatepass"))
-            for col, v in zip(out, (t.column(0)[0].as_py(), n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, t.num_rows)):
-                col.append(v)
-        if out[0]:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, _DIGESTS_ARROW)], schema=_DIGESTS_ARROW)
+            yield from out.batches()
+        if key is not _NONE:
+            out.add((key, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, k), 200)
+        yield from out.batches(0)
 
     only = windows.select("conv_id", "window", "n_repeated", "text", "loss_starts", "loss_ends")
-    return only.repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInArrow(run, DIGESTS)
+    if not together:
+        only = only.repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    return only.mapInArrow(run, DIGESTS)
 
 
 def op9_budgeted_windows(spark, sf_dir: str) -> DataFrame:
@@ -182,4 +246,5 @@ def op9_budgeted_windows(spark, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
-    return read_back(format_windows(rows.unionByName(own), public_tokenizers.path("byte_bpe_50k.json")))
+    windows = format_windows(rows.unionByName(own), public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+    return read_back(windows, together=True)

@@ -11,13 +11,30 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD_TEXT = st.text(alphabet="ab<|>\\im_start end\n", max_size=20)
 
 
+def window_spans(costs, system, budget, history):
+    """(first repeated turn, first new turn, end, over the budget) of each window, by trying all."""
+    first, out, new = int(system), [], 0
+    while new < len(costs):
+        room = budget - (costs[0] if system and new else 0)
+        options = range(max(first, new - history), new + 1) if new else [0]
+        back = next((b for b in options if sum(costs[b : new + 1]) <= room), new)
+        end = max([e for e in range(new + 1, len(costs) + 1) if sum(costs[back:e]) <= room], default=new + 1)
+        out.append((back, new, end, sum(costs[back:end]) > room))
+        new = end
+    return out
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "a\nb\\", ""]), ODD_TEXT), max_size=8), st.integers(1, 40), st.integers(0, 3))
 def test_windows_read_back(turns, budget, history):
     costs = [1 + len(t) for _, t in turns]
-    windows = chat.format_conversation(turns, costs, budget, history)
+    made = chat.Windows(budget, history)
+    windows = [w for (r, t), c in zip(turns, costs) for w in made.add(r, t, c)] + made.finish()
+    spans = window_spans(costs, bool(turns) and turns[0][0] == "system", budget, history)
+    kept = lambda first: int(bool(first) and turns[0][0] == "system")
+    assert [(first - (n - kept(first)), first, stop, over) for first, stop, n, _, _, _, over in windows] == spans
     back, loss, end = [], [], 0
-    for first, stop, text, starts, ends, over in windows:
+    for first, stop, _, text, starts, ends, over in windows:
         found = [(chat.unescape(m[1]), chat.unescape(m[2])) for m in chat._TURN.finditer(text)]
         new = found[len(found) - (stop - first) :]
         assert first == end and new == turns[first:stop]
@@ -47,9 +64,29 @@ def test_query_digests(spark):
 
 def test_spans():
     # a system turn of 2 stays in each window, at most one earlier turn is repeated
-    assert chat.window_spans([2, 3, 3, 3], True, 8, 1) == [(0, 0, 3, False), (2, 3, 4, False)]
-    assert chat.window_spans([9, 1], False, 5, 2) == [(0, 0, 1, True), (1, 1, 2, False)]
-    assert chat.window_spans([], False, 5, 2) == []
+    assert window_spans([2, 3, 3, 3], True, 8, 1) == [(0, 0, 3, False), (2, 3, 4, False)]
+    assert window_spans([9, 1], False, 5, 2) == [(0, 0, 1, True), (1, 1, 2, False)]
+    assert window_spans([], False, 5, 2) == []
+
+
+def test_counts_agree():
+    texts = ["", "Hello, world!", "  two  spaces\n\n", "<|im_start|>user\nGröße 中文 🙂<|endoftext|>", "x" * 3000, "it's 12345"]
+    ranks = chat.Counter.of(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert ranks(texts) == chat.Counter.of(PATH)(texts)
+
+
+def test_registered_query(spark, tmp_path):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"<|turn {t}|> \\ " * (t % 5)) for c in range(30) for t in range(c % 9)] + [(3, 0, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    said = "<|im_end|><|im_start|>assistant ok"
+    rows = [(c, t, r, x or "") for c, t, r, x in rows] + [(-1, 0, "user", said), (-1, 1, "assistant", said)]
+    got = {r.conv_id: r for r in chat.op9_budgeted_windows(spark, str(tmp_path)).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for c, r in got.items():
+        own = [x[2:] for x in sorted(x for x in rows if x[0] == c)]
+        loss = "".join(t for role, t in own if role == "assistant")
+        assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(own), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()
 
 
 @pytest.mark.parametrize("s", ["", "\\", "<|", "\\<|", "<\\|", "<|im_end|>", "\\\\n"])
