@@ -1,8 +1,7 @@
-"""Queries of this package over the driver's tables; the pipeline is one of them."""
+"""Queries of this package over the driver's tables."""
 
 from __future__ import annotations
 
-import corpus_pipeline
 from lodestone.llm import chat, language, licenses, media, near_dedup, packing, quality, search, sentencepiece_backend, toxicity
 
 
@@ -18,7 +17,6 @@ def queries() -> dict:
         "op8_convolutional_toxicity": toxicity.op8_convolutional_toxicity,
         "op9_budgeted_windows": chat.op9_budgeted_windows,
         "op10_license_paragraphs": licenses.op10_license_paragraphs,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -181,13 +181,13 @@ def store_audio(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return only.mapInArrow(map_slices(one, "raw"), STORED)
 
 
-def read_audio(stored: DataFrame, rate: int = 16_000, with_pcm: bool = True) -> DataFrame:
-    """What the stored files hold: the payload, the PCM file at ``rate`` (null unless ``with_pcm``), features and digests."""
+def read_audio(stored: DataFrame, rate: int = 16_000) -> DataFrame:
+    """What the stored files hold: the payload, the PCM file at ``rate``, features and digests."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("pcm", pa.binary()), ("feature", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch, "media", 4 << 20):
+            for part in sliced(batch, "media", 2 << 20):
                 out: list[list] = [[], [], [], [], []]
                 files = part.column(2).to_pylist()
                 parsed = [parse_wav(x) for x in files]
@@ -195,7 +195,7 @@ def read_audio(stored: DataFrame, rate: int = 16_000, with_pcm: bool = True) ->
                 for file, (fmt, own, _, data), pcm in zip(files, parsed, decoded):
                     again = resample(pcm, own, rate)
                     feature = f"{features(pcm, fmt)};pcm{rate}={zlib.crc32(again.tobytes()):08x}"
-                    sound = wav(1, again.tobytes(), rate, 16, 2) if with_pcm else None
+                    sound = wav(1, again.tobytes(), rate, 16, 2)
                     for col, v in zip(out, (bytes(data), len(file), hashlib.sha256(file).hexdigest(), sound, feature)):
                         col.append(v)
                 yield pa.record_batch([part.column(0), part.column(1), *(pa.array(c, t.type) for c, t in zip(out, list(schema)[2:]))], schema=schema)
@@ -204,8 +204,9 @@ def read_audio(stored: DataFrame, rate: int = 16_000, with_pcm: bool = True) ->
 
 
 def op5_telephony_audio(spark, sf_dir: str) -> DataFrame:
-    read = read_audio(store_audio(spark.read.parquet(f"{sf_dir}/documents.parquet")), with_pcm=False)
+    read = read_audio(store_audio(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return read.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature",
+        F.length("pcm").cast("long").alias("pcm_bytes"), F.xxhash64("pcm").alias("pcm_xxhash64"),
     )

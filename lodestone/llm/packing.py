@@ -41,6 +41,9 @@ _RUN = re.compile(r"[.,](?<=[\W_][.,])(?<!\s[.,])\s")
 _TAIL = ".,!?;:%$&*#|()"
 
 
+PROBES = ["Hello, World!  it's 3.14 (really?)", "a b\tc\n\nd", "Größe élève ¿qué? 中文 кириллица", "x.y, z. -- ... ?! 'tis", "UPPER lower MiXed 12,345.67", "e\u0301 ﬁ Ⅳ 🙂", " lead and trail ", "_under_score a_b #tag @you", "they've we'll I'm"]
+
+
 class WordIds(UnitCache):
     """Ids of a vocabulary that lower-cases, drops white space and never joins across it.
 
@@ -53,12 +56,20 @@ class WordIds(UnitCache):
         super().__init__()
         self.tok = Tokenizer.from_file(path)
         spec = json.loads(self.tok.to_str())
-        split = spec["pre_tokenizer"]["pretokenizers"][-1]
-        spec |= {"normalizer": None, "pre_tokenizer": split, "added_tokens": []}
-        self.plain = Tokenizer.from_str(json.dumps(spec))  # for words of lower-case letters alone
+        self.plain = self.tok
+        self.apart = True
+        try:
+            split = spec["pre_tokenizer"]["pretokenizers"][-1]
+            spec |= {"normalizer": None, "pre_tokenizer": split, "added_tokens": []}
+            self.plain = Tokenizer.from_str(json.dumps(spec))  # for words of lower-case letters alone
+            # A file of another kind is told by probes: its texts are encoded whole.
+            self.apart = all(a == self.whole(t) for a, t in zip(self.encode(PROBES), PROBES))
+        except (KeyError, TypeError, IndexError):
+            self.apart = False
+        self.units, self.old = {}, {}
 
     def split(self, text: str) -> list[str] | None:
-        if any(c in text for c in _ODD) or not is_normalized("NFC", text):
+        if not self.apart or any(c in text for c in _ODD) or not is_normalized("NFC", text):
             return None
         text = text.lower()
         if not _RUN.search(text):
@@ -192,10 +203,12 @@ def pack(pieces: DataFrame, *, seq_len: int = 2048, open_bins: int = 16_384, win
     """``pieces`` (columns of ``token_pieces``) with the sequence and the offset of each.
 
     Partitions are packed apart: only the last, partly filled bins of each are lost, and Spark sizes
-    the partitions of these narrow rows by bytes.  Pieces are dealt by doc_id and piece, so a lost
-    task packs the same pieces again.
+    the partitions of these narrow rows by bytes.  Pieces are dealt by doc_id and piece and come in a
+    defined order, so a lost task packs the same pieces again.  Best fit is online over windows of
+    ``window`` pieces, each taken longest first; the open bins stay open from one to the next.
     """
-    dealt = pieces.hint("rebalance", "doc_id", "piece").sortWithinPartitions("doc_id", "piece")
+    order = ["doc_id", "piece", "length", "ids_crc32"]  # pieces that agree in all four have the same ids
+    dealt = pieces.hint("rebalance", "doc_id", "piece").sortWithinPartitions(*order)
     extra = [("ids", pa.binary())] if "ids" in pieces.columns else []
     schema = pa.schema([*PIECES_ARROW, *extra, ("sequence_id", pa.int64()), ("offset", pa.int64())])
     ddl = PIECES + (", ids binary" if extra else "") + ", sequence_id long, offset long"

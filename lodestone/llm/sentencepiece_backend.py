@@ -5,9 +5,9 @@ character map, removal of extra spaces, prefix, escaping of spaces by the metasp
 scores, or for a BPE model the merges that the scores imply), byte fallback and the decoder.  A set of probe
 texts is encoded by the sentencepiece library too, and a rebuilt model that differs is refused.
 
-Encoding: units between metaspace marks are encoded apart and remembered wherever no piece of the vocabulary
-reaches across such a place; other texts go to the library in multithreaded batches.  Decoding joins the bytes of
-the pieces from a table that is held against the library's decoder when the model is loaded.
+Texts are encoded whole, in multithreaded batches.  Decoding joins the bytes of the pieces from a table that is held
+against the library's decoder when the model is loaded.  ``parity`` gives the texts of a table whose ids differ from
+the sentencepiece library's.
 
 Null text counts as empty and has no ids.  Repeated rows give equal rows; null ids stay null; an empty table
 gives an empty result; only the named columns are read.
@@ -15,8 +15,8 @@ gives an empty result; only the named columns are read.
 
 from __future__ import annotations
 
+import os
 import struct
-import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -24,10 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
-from lodestone.llm.common import sliced
-from lodestone.llm.units import UnitCache
+from lodestone.llm.common import release, sliced, texts_of
 
 MARK = "▁"
 # Fixed values of the model format: piece types and model types.
@@ -146,53 +145,34 @@ def differing(path: str, tok: Tokenizer, texts: list[str]) -> list[str]:
     return [t for t, a, b in zip(texts, ours, want) if a != b or tok.decode(a, skip_special_tokens=False) != theirs.decode(b)]
 
 
-class PieceIds(UnitCache):
-    """Ids of a model; a word's unit is the word with the mark before it."""
+class PieceIds:
+    """A model's encoder and its table for decoding, both held against the sentencepiece library when loaded."""
+
+    _open: dict[str, PieceIds] = {}
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         with open(path, "rb") as f:
             self.spec = parse_model(f.read())
         self.tok = build(self.spec)
         if bad := differing(path, self.tok, PROBES):
             raise ValueError(f"the rebuilt model differs from {path} on {bad!r}")
-        pieces = [p for p, _, kind in self.spec.pieces if kind in (NORMAL, USER_DEFINED)]
-        across = any("\n" in p or any(p[i] != MARK and p[i + 1] == MARK for i in range(len(p) - 1)) for p in pieces)
-        plain = not self.spec.charsmap and not self.spec.remove_extra and self.spec.dummy_prefix and self.spec.escape
-        self.apart = plain and not across and not any(kind == USER_DEFINED for *_, kind in self.spec.pieces) and self.spec.model_type == BPE
-        self.bare = Tokenizer.from_str(self.tok.to_str())  # for units: they have their mark already
-        self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([])
         surface = {UNKNOWN: lambda p: " \u2047 ".encode(), CONTROL: lambda p: b"", BYTE: lambda p: bytes([int(p[3:5], 16)])}
         self.surface = [surface.get(kind, lambda p: p.replace(MARK, " ").encode())(p) for p, _, kind in self.spec.pieces]
         want = [e.ids for e in self.tok.encode_batch(PROBES, add_special_tokens=False)]
         if self.decode([np.asarray(x, dtype="<u4").tobytes() for x in want]) != self.tok.decode_batch(want, skip_special_tokens=False):
             raise ValueError(f"decoding by table differs from the library's decoder for {path}")
 
-    def split(self, text: str) -> list[str] | None:
-        """Words, line feeds, and (after a line feed) words that have no mark, shown by a NUL before them."""
-        if not text:
-            return []
-        if not self.apart or "  " in text or MARK in text or "\0" in text or text[0] == " ":
-            return None
-        return text.replace("\n", " \n \0").split(" ")
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, new: set[str]) -> None:
-        self.units["\0"] = b""
-        new.discard("\0")
-        keys = list(new)
-        self.store(self.bare, [w if w == "\n" else w[1:] if w[0:1] == "\0" else MARK + w for w in keys], keys)
+    @classmethod
+    def of(cls, path: str) -> PieceIds:
+        """One per process and model; Spark reuses its Python processes."""
+        if path not in cls._open:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+            cls._open[path] = cls(path)
+        return cls._open[path]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Texts that must be encoded whole go to the library together, which uses all threads it is given."""
-        whole = [i for i, t in enumerate(texts) if self.split(t) is None]
-        out = super().encode(["" if i in set(whole) else t for i, t in enumerate(texts)]) if whole else super().encode(texts)
-        for i, e in zip(whole, self.tok.encode_batch([texts[i] for i in whole], add_special_tokens=False)):
-            out[i] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return out
+        """The ids of a batch, by as many threads as the library is given (RAYON_NUM_THREADS)."""
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids: list[bytes]) -> list[str]:
         """Texts by a table of each piece's bytes, which the constructor holds against the library's decoder."""
@@ -210,10 +190,10 @@ def encode(df: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = PieceIds.of(model)
         for batch in batches:
-            for part in sliced(batch, "text", 4 << 20):
+            for part in sliced(batch, "text", 1 << 20):
                 ids = cache.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["doc_id", "ids", "n_ids"])
-        cache.end()
+        release()
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ENCODED)
 
@@ -238,10 +218,10 @@ def parity(df: DataFrame, model: str, *, text_col: str = "text") -> DataFrame:
 
         cache, theirs = PieceIds.of(model), sentencepiece.SentencePieceProcessor(model_file=model)
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            want = theirs.encode(texts, num_threads=1)
-            bad = [t for t, a, b in zip(texts, cache.encode(texts), want) if a != np.asarray(b, dtype="<u4").tobytes()]
-            yield pa.record_batch([pa.array(bad, pa.string())], names=["text"])
+            for part in sliced(batch, "text", 1 << 20):
+                texts = texts_of(part.column(0))
+                bad = [t for t, a, b in zip(texts, cache.encode(texts), theirs.encode(texts, num_threads=1)) if a != np.asarray(b, dtype="<u4").tobytes()]
+                yield pa.record_batch([pa.array(bad, pa.string())], names=["text"])
 
     return df.select(F.col(text_col).alias("text")).mapInArrow(run, "text string")
 

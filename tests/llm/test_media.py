@@ -73,3 +73,17 @@ def test_resample():
     assert media.resample(x, 8000, 16000).tolist() == [0, 50, 100, 0, -100, -100]
     assert len(media.resample(np.arange(1000, dtype=np.int16), 8000, 11025)) == 1378
     assert media.resample(x, 8000, 8000) is x and zlib.crc32(b"") == 0 and hashlib.sha256
+
+
+def test_registered_query(spark, tmp_path):
+    rows = [(1, None), (2, ""), (3, "é" * 400), (4, "x" * 576), (5, "long " * 5000), (5, "again"), (None, "no id")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in media.op5_telephony_audio(spark, str(tmp_path)).collect())
+    want = []
+    for doc, text in rows:
+        raw = (text or "").encode()
+        p = raw + b"\xff" * (576 - len(raw) % 576 if len(raw) % 576 or not raw else 0)
+        want.append((doc or 0, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])))
+    assert got == sorted(want)
+    for r in media.read_audio(media.store_audio(spark.createDataFrame(rows, "doc_id long, text string"))).collect():
+        assert media.parse_wav(bytes(r.pcm))[:2] == (1, 16_000) and hashlib.sha256(bytes(r.payload)).hexdigest() in {w[3] for w in want}

@@ -71,3 +71,32 @@ def test_runs_of_signs():
     c = packing.WordIds(PATH)
     texts = [f"{a}{s} b" for a in ("a", "é", "1", "") for n in (1, 2, 3) for s in map("".join, itertools.product("._'-,é1", repeat=n))]
     assert c.encode(texts) == [c.whole(t) for t in texts]
+
+
+def test_other_vocabularies_are_encoded_whole():
+    texts = ["Hello, World!  twice", "a\n\nb", "Größe ", ""]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        c, tok = packing.WordIds(path), Tokenizer.from_file(path)
+        assert c.apart == name.startswith("word")
+        assert c.encode(texts) == [struct.pack(f"<{len(i)}I", *i) for i in (tok.encode(t, add_special_tokens=False).ids for t in texts)]
+
+
+def test_registered_query(spark, tmp_path, words):
+    rows = [(i, " ".join(words(n, i))) for i, n in enumerate([0, 1, 5, 40, 3000, 700, 2100] * 4)] + [(99, None), (99, "again")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = packing.op2_best_fit_packing(spark, str(tmp_path)).collect()
+    tok, want, bins = Tokenizer.from_file(PATH), [], {}
+    for doc, text in rows:
+        ids = tok.encode(text or "", add_special_tokens=False).ids + [0]
+        want += [(doc, k, a, len(ids[a : a + 2048]), zlib.crc32(struct.pack(f"<{len(ids[a : a + 2048])}I", *ids[a : a + 2048]))) for k, a in enumerate(range(0, len(ids), 2048))]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == sorted(want)
+    for r in out:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in bins.values():
+        ends = [0]
+        for offset, length in sorted(own):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 2048
+    assert len(bins) <= sum(w[3] for w in want) / 2048 + 3

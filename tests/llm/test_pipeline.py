@@ -1,3 +1,4 @@
+import __spark_entry__
 import corpus_pipeline
 from lodestone.llm import catalog
 
@@ -58,5 +59,6 @@ def test_empty_table(spark, tmp_path):
 
 
 def test_registered():
-    names = catalog.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k != "pipeline"} and "pipeline" in names
+    names = __spark_entry__.queries()
+    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in catalog.queries()}
+    assert set(catalog.queries()) < set(names) and names["pipeline"] is corpus_pipeline.run
