@@ -1,40 +1,86 @@
-"""Connected components of an edge list, by alternating large and small stars, and joins that split hot keys."""
+"""Connected components of an edge list, and joins that split hot keys."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, tidy
+from lodestone.llm.common import cut, release, tidy
 
 #: A key is hot if it holds this share of all rows, so that there are at most so many; below FLOOR rows none is.
 HOT_KEYS, FLOOR = 4096, 256
+#: Edges that one task contracts at a time (16 bytes each).
+BLOCK = 1 << 19
 
 
-def least_hot(total: int) -> int:
-    return max(FLOOR, -(-total // HOT_KEYS))
-
-
-def hot_keys(rows: DataFrame, key: str, total: int | None = None) -> DataFrame:
-    """The keys of at least a 4096th of all ``rows`` (computed already: they are counted); 4096 at most."""
-    total = rows.count() if total is None else total
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_hot(total)).select(key)
+def hot_keys(counted: DataFrame, key: str, n: str) -> DataFrame | None:
+    """The keys of ``counted`` (computed already; a key's rows are counted in ``n``) with at least a 4096th of all rows, if any."""
+    total, most = counted.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    least = max(FLOOR, -(-total // HOT_KEYS))
+    return counted.filter(F.col(n) >= least).select(key) if most >= least else None
 
 
-def spread(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
-    """``left`` joined (inner or left) with ``right``, in which a key stands once, without gathering a key's rows.
+def spread(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``left`` joined (inner or left) with ``right``, in which a key stands once, without gathering a hot key's rows.
 
     The rows of hot keys stay where they are and meet the few rows of ``right`` that belong to them by broadcast
     (4096 at most, as a hot key holds a 4096th of ``left``); all others are joined by the key.
     """
-    hot = cut(hot_keys(left, key) if hot is None else hot)
-    if hot.isEmpty():
+    if hot is None:
         return left.join(right, key, how)
     light = left.join(F.broadcast(hot), key, "left_anti").join(right, key, how)
     heavy = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), key, "left_semi")), key, how)
     return light.unionByName(heavy)
 
 
+def smallest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of an edge list, and for each the smallest one that its edges reach."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[label]
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+
+
+def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of a task as stars: each node points to the smallest that the task's edges reach, block by block."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def stars() -> tuple[np.ndarray, np.ndarray]:
+        node, root = smallest_reachable(*(np.concatenate(x) for x in zip(*held)))
+        return node[node != root], root[node != root]
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+        if size >= 2 * BLOCK:
+            u, v = stars()
+            held, size = [(u, v)], len(u)
+            if size >= BLOCK:  # hardly anything in common: on to the next block
+                yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
+                held, size = [], 0
+    if held:
+        u, v = stars()
+        yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
+    release()
+
+
 def _mark(e: DataFrame) -> tuple[int, int]:
     row = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return row[0], row[1]
@@ -43,24 +89,31 @@ def _mark(e: DataFrame) -> tuple[int, int]:
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) for every node of ``edges`` (a, b: long).
 
-    Edges point from the larger to the smaller end.  Large star: each edge's smaller end is replaced by that end's
-    own smallest neighbour; small star: all smaller neighbours of a node point to the smallest of them.  The joins
-    split nodes of very many edges; edges are cut after every step.  Loops and repeated edges change nothing.
+    Every round first contracts blocks of about half a million edges, each in one task, to stars; where there is one
+    block, that is all.  Else large and small stars alternate over all edges, which point from the larger to the smaller
+    end.  Large star: each edge's smaller end gives way to that end's own smallest neighbour; small star: all smaller
+    neighbours of a node point to the smallest of them.  The joins split nodes of very many edges; edges are cut after
+    every step.  Loops and repeated edges change nothing.
     """
-    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = _mark(e)
-    while mark[0]:
+    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    mark, n = None, e.count()
+    while n:
+        blocks = -(-n // BLOCK)
+        if blocks < e.rdd.getNumPartitions():
+            e = e.coalesce(blocks)
+        e = cut(e.mapInArrow(_contract, "u long, v long"))
+        if blocks == 1:
+            break
+        e = cut(e.distinct())
+        down = cut(e.groupBy("v").agg(F.count(F.lit(1)).alias("n")))
         up = e.groupBy("u").agg(F.min("v").alias("m"))
-        large = cut(spread(e, up.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        if low.count() < large.count():
-            small = spread(large, low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-            del small
-        else:  # every node points to one other: the small star has nothing to do
-            e = large
+        large = cut(spread(e, up.withColumnRenamed("u", "v"), "v", hot_keys(down, "v", "n"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = spread(large, low, "u", hot_keys(low, "u", "n")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         before, mark = mark, _mark(e)
-        del up, large, low
+        n = mark[0]
+        del up, down, large, low, small
         tidy(edges.sparkSession)
         if mark == before:
             break

@@ -134,8 +134,7 @@ def identify(df: DataFrame, model: Likelihood, *, text: Column, host: Column, su
     """``df`` with ``lang_id`` (``und`` if not accepted), ``lang_best``, ``lang_confidence`` and ``lang_accepted``.
 
     ``keep``: the columns of ``df`` that the result has (all of them).  Columns by the four names give way; any other
-    name may stand in ``df``.  The rows are read twice: once for the counts, once for the judgement.  Likelihoods are
-    computed before the counts are joined: what isn't kept, as a page's text, is not carried along.
+    name may stand in ``df``.  The rows are read twice: once for the counts, once for the judgement.
     """
     new = ["lang_id", "lang_best", "lang_confidence", "lang_accepted"]
     df = df.drop(*new)
@@ -161,41 +160,55 @@ def identify(df: DataFrame, model: Likelihood, *, text: Column, host: Column, su
     one = lambda rows: np.array([x or 0 for x in rows.agg(*(F.sum(c) for c in names)).first()], dtype=np.float64) / 1e6
     corpus, said = one(keyed), one(keyed.filter(F.col(d) != ""))
 
+    fields = [df.schema[c] for c in own]
+    out_names = [*own, *new]
+    schema = T.StructType([*fields, *(T.StructField(n, k) for n, k in zip(new, (T.StringType(), T.StringType(), T.DoubleType(), T.BooleanType())))])
+
+    def judged(kept: list[pa.Array], declares: pa.Array, loglik: np.ndarray, n: np.ndarray, counts: list[pa.Array]) -> pa.RecordBatch:
+        m = sent.value
+        has = np.array([bool(x) for x in declares.to_pylist()], dtype=bool)
+        host_counts, suffix_counts, declared_counts = (c.flatten().to_numpy().reshape(len(n), -1) for c in counts)
+        post = fuse(m, loglik, host_counts, suffix_counts, corpus, declared_counts, has, said)
+        best, top = post.argmax(axis=1), post.max(axis=1)
+        good = (n > 0) & (top >= m.p.least) & (m.langs != ["und"])
+        lang = [langs[k] for k in best]
+        return pa.record_batch([*kept, pa.array([x if g else "und" for x, g in zip(lang, good)]), pa.array(lang), pa.array(top), pa.array(good)], names=out_names)
+
+    sizes = {key: table.limit(SMALL_ROWS + 1).count() for key, table in tables.items()}
+
+    def with_counts(rows: DataFrame) -> DataFrame:
+        for key, table in tables.items():
+            if sizes[key] == 1:  # one key for all rows: nothing to join
+                rows = rows.withColumn(table.columns[-1], F.array(*(F.lit(x) for x in table.first()[-1])))
+            else:  # beyond SMALL_ROWS: a join by the key, whose hot partitions Spark splits
+                rows = rows.join(F.broadcast(table) if sizes[key] <= SMALL_ROWS else table, list(key))
+        return rows
+
+    rows = df.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(own, held)), *evidence)
+    if all(n <= SMALL_ROWS for n in sizes.values()):
+        # The counts come to the rows by broadcast: one step computes likelihoods and judges.
+        def both(part: pa.RecordBatch) -> pa.RecordBatch:
+            loglik, n = sent.value.of(texts_of(part.column(len(own))))
+            return judged(part.columns[: len(own)], part.column(len(own) + 1), loglik, n, part.columns[len(own) + 2 :])
+
+        return with_counts(rows).select(*held, t, d, hv, sv, dv).mapInArrow(map_slices(both, t, 1 << 20), schema)
+
+    # Rows are dealt by their host: likelihoods first, so that a text that isn't kept is not carried along.
     def likely(part: pa.RecordBatch) -> pa.RecordBatch:
         loglik, n = sent.value.of(texts_of(part.column(len(own))))
         vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, loglik.size + 1, loglik.shape[1], dtype=np.int32)), pa.array(loglik.ravel()))
         return pa.record_batch([*part.columns[: len(own)], *part.columns[len(own) + 1 :], vectors, pa.array(n)], names=[*held, h, s, d, lik, letters])
 
-    fields = [df.schema[c] for c in own]
-    more = [T.StructField(c, T.StringType()) for c in (h, s, d)] + [T.StructField(lik, T.ArrayType(T.DoubleType())), T.StructField(letters, T.DoubleType())]
-    inner = [T.StructField(c, f.dataType) for c, f in zip(held, fields)]
-    rows = df.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(own, held)), *evidence).mapInArrow(map_slices(likely, t, 1 << 20), T.StructType([*inner, *more]))
-    for key, table in tables.items():
-        n = table.limit(SMALL_ROWS + 1).count()
-        if n == 1:  # one key for all rows: nothing to join
-            rows = rows.withColumn(table.columns[-1], F.array(*(F.lit(x) for x in table.first()[-1])))
-        else:  # beyond SMALL_ROWS: a join by the key, whose hot partitions Spark splits
-            rows = rows.join(F.broadcast(table) if n <= SMALL_ROWS else table, list(key))
-    rows = rows.select(*held, d, lik, letters, hv, sv, dv)
-    out_names = [*own, *new]
-    schema = T.StructType([*fields, *(T.StructField(n, k) for n, k in zip(new, (T.StringType(), T.StringType(), T.DoubleType(), T.BooleanType())))])
-
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for part in batches:
-            if not part.num_rows:
-                continue
-            declares, ll, n, *counts = part.columns[len(own) :]
-            mat = lambda c: c.flatten().to_numpy().reshape(part.num_rows, -1)
-            has = np.array([bool(x) for x in declares.to_pylist()], dtype=bool)
-            host_counts, suffix_counts, declared_counts = (mat(c) for c in counts)
-            post = fuse(m, mat(ll), host_counts, suffix_counts, corpus, declared_counts, has, said)
-            best, top = post.argmax(axis=1), post.max(axis=1)
-            good = (n.to_numpy() > 0) & (top >= m.p.least) & (m.langs != ["und"])
-            lang = [langs[k] for k in best]
-            yield pa.record_batch([*part.columns[: len(own)], pa.array([x if g else "und" for x, g in zip(lang, good)]), pa.array(lang), pa.array(top), pa.array(good)], names=out_names)
-
-    return rows.mapInArrow(judge, schema)
+            if part.num_rows:
+                declares, ll, n, *counts = part.columns[len(own) :]
+                yield judged(part.columns[: len(own)], declares, ll.flatten().to_numpy().reshape(part.num_rows, -1), n.to_numpy(), counts)
+
+    inner = [T.StructField(c, f.dataType) for c, f in zip(held, fields)]
+    inner += [T.StructField(c, T.StringType()) for c in (h, s, d)] + [T.StructField(lik, T.ArrayType(T.DoubleType())), T.StructField(letters, T.DoubleType())]
+    rows = rows.mapInArrow(map_slices(likely, t, 1 << 20), T.StructType(inner))
+    return with_counts(rows).select(*held, d, lik, letters, hv, sv, dv).mapInArrow(judge, schema)
 
 
 def page_text(html: Column) -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import by_key, cut, map_slices, release, sliced, tidy
-from lodestone.llm.graph import components, least_hot, spread
+from lodestone.llm.graph import components, hot_keys, spread
 from lodestone.llm.hashing import SPACE, Buffer, mixed
 
 
@@ -187,16 +187,14 @@ def ties(classes: DataFrame, p: Params) -> DataFrame:
     count = F.count(F.lit(1)).alias("size")
     nodes = classes.select(F.explode(F.array(*roots)).alias("node"), "rep")
     shared = cut(nodes.groupBy("node").agg(count).filter("size > 1"))
-    least = F.lit(least_hot(classes.count() * p.trees * p.roots))
-    met = cut(spread(nodes, shared, "node", hot=shared.filter(F.col("size") >= least).select("node")))
+    met = cut(spread(nodes, shared, "node", hot_keys(shared, "node", "size")))
     leaves, found = [met.filter(F.col("size") <= p.leaf).select("node", "rep")], []
     # Signatures travel with the rows of large nodes alone.
     rows = met.filter(F.col("size") > p.leaf).select("node", "rep").join(classes.select("rep", "sig"), "rep").select("node", "rep", "sig")
     for level in range(p.levels):
         pivot = F.min(F.struct(F.xxhash64("node", "rep").alias("h"), F.col("rep").alias("pivot"), F.col("sig").alias("pivot_sig"))).alias("m")
         size = cut(rows.groupBy("node").agg(count, pivot).filter("size > 1").select("node", "size", "m.pivot", "m.pivot_sig"))
-        total = size.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-        met = cut(spread(rows, size, "node", hot=size.filter(F.col("size") >= least_hot(total)).select("node")))
+        met = cut(spread(rows, size, "node", hot_keys(size, "node", "size")))
         leaves.append(met.filter(F.col("size") <= p.leaf).select("node", "rep"))
         large = met.filter(F.col("size") > p.leaf).select("node", "rep", "sig", "pivot", "pivot_sig")
         if large.isEmpty():
@@ -339,8 +337,8 @@ def _large_groups(members: DataFrame, p: Params) -> DataFrame:
     # The largest component that pivots connect is each group's main one; all else is held against all blocks.
     of = cut(members.select("grp", "rep").join(known.withColumnRenamed("node", "rep"), "rep"))
     counts = of.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("grp").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
-    main = spread(of, best, "grp").filter("component = main").select("rep")
+    best = cut(counts.groupBy("grp").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component"))["component"].alias("main")))
+    main = spread(of, best.drop("n"), "grp", hot_keys(best, "grp", "n")).filter("component = main").select("rep")
     outside = cut(members.join(main, "rep", "left_anti"))
     tidy(members.sparkSession)
     return components(known.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links(outside)))
@@ -350,8 +348,9 @@ def linked_classes(docs: DataFrame, classes: DataFrame, p: Params, id_col: str =
     """``node`` (a class's rep) and ``component`` for all classes that have a link, and some that have none."""
     groups = cut(components(ties(classes, p)).select(F.col("node").alias("rep"), F.col("component").alias("grp")).join(classes.select("rep", "n"), "rep"))
     # A group counts by its classes or by its shingles, whichever says more: long texts make a group large, too.
-    size = groups.groupBy("grp").agg(F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") / p.shingles)).cast("long").alias("size"))
-    wanted = cut(spread(groups.drop("n"), size, "grp"))
+    count = F.count(F.lit(1))
+    size = cut(groups.groupBy("grp").agg(count.alias("rows"), F.greatest(count, F.ceil(F.sum("n") / p.shingles)).cast("long").alias("size")))
+    wanted = cut(spread(groups.drop("n"), size.select("grp", "size"), "grp", hot_keys(size, "grp", "rows")))
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -92,13 +92,29 @@ def test_spread_joins_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(graph, "FLOOR", 10)
     left = spark.createDataFrame([(0 if i % 2 else i, i) for i in range(400)], "k long, x long")
     right = spark.createDataFrame([(i, -i) for i in range(0, 400, 4)], "k long, y long")
-    assert graph.hot_keys(left, "k").collect() == [(0,)]
+    hot = graph.hot_keys(left.groupBy("k").count(), "k", "count")
+    assert hot.collect() == [(0,)] and graph.hot_keys(right.groupBy("k").count(), "k", "count") is None
     for how in ("inner", "left"):
-        assert sorted(map(str, graph.spread(left, right, "k", how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+        assert sorted(map(str, graph.spread(left, right, "k", hot, how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
 
 
-def test_components(spark, monkeypatch):
+def test_smallest_reachable():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 60):
+        u, v = rng.integers(0, 50, (2, n))
+        node, label = graph.smallest_reachable(u, v)
+        want = {x: x for x in (*u.tolist(), *v.tolist())}
+        for _ in range(n):
+            for a, b in zip(u.tolist(), v.tolist()):
+                want[a] = want[b] = min(want[a], want[b])
+        assert dict(zip(node.tolist(), label.tolist())) == want
+
+
+@pytest.mark.parametrize("block", [1 << 19, 64])
+def test_components(spark, monkeypatch, block):
+    """In one block, and by stars with hot nodes."""
     monkeypatch.setattr(graph, "FLOOR", 16)
+    monkeypatch.setattr(graph, "BLOCK", block)
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)] + [(2000, 2001 + i) for i in range(90)] + [(2500, 2001 + i) for i in range(0, 90, 2)]
     label = {x: x for e in edges for x in e}
