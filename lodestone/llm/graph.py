@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,26 +16,43 @@ from lodestone.llm.common import cut, release, tidy
 HOT_KEYS, FLOOR = 4096, 256
 #: Edges that one task contracts at a time (16 bytes each).
 BLOCK = 1 << 19
+#: Rows that are worth a task of their own.
+ROWS = 2000
 
 
-def hot_keys(counted: DataFrame, key: str, n: str) -> DataFrame | None:
-    """The keys of ``counted`` (computed already; a key's rows are counted in ``n``) with at least a 4096th of all rows, if any."""
+@dataclass(frozen=True)
+class Hot:
+    """Keys that hold at least a 4096th of ``total`` rows (none: no frame)."""
+
+    keys: DataFrame | None
+    total: int
+
+
+def hot_keys(counted: DataFrame, key: str, n: str) -> Hot:
+    """The hot keys of ``counted``, a frame computed already in which each key stands once and ``n`` counts its rows."""
     total, most = counted.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
     least = max(FLOOR, -(-total // HOT_KEYS))
-    return counted.filter(F.col(n) >= least).select(key) if most >= least else None
+    return Hot(counted.filter(F.col(n) >= least).select(key) if most >= least else None, total)
+
+
+def few(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df``, a union, in no more partitions than a shuffle makes (else each step over it would add to them), or than its rows need."""
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(most if rows is None else max(1, min(most, -(-rows // ROWS))))
 
 
-def spread(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+def spread(left: DataFrame, right: DataFrame, key: str, hot: Hot, how: str = "inner") -> DataFrame:
     """``left`` joined (inner or left) with ``right``, in which a key stands once, without gathering a hot key's rows.
 
     The rows of hot keys stay where they are and meet the few rows of ``right`` that belong to them by broadcast
     (4096 at most, as a hot key holds a 4096th of ``left``); all others are joined by the key.
     """
-    if hot is None:
-        return left.join(right, key, how)
-    light = left.join(F.broadcast(hot), key, "left_anti").join(right, key, how)
-    heavy = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), key, "left_semi")), key, how)
-    return light.unionByName(heavy)
+    if hot.keys is None:
+        return few(left.join(right, key, how), hot.total)
+    keys = F.broadcast(hot.keys)
+    light = left.join(keys, key, "left_anti").join(right, key, how)
+    heavy = left.join(keys, key, "left_semi").join(F.broadcast(right.join(keys, key, "left_semi")), key, how)
+    return few(light.unionByName(heavy), hot.total)
 
 
 def smallest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,13 +113,11 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours of a node point to the smallest of them.  The joins split nodes of very many edges; edges are cut after
     every step.  Loops and repeated edges change nothing.
     """
-    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    e = cut(few(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))))
     mark, n = None, e.count()
     while n:
         blocks = -(-n // BLOCK)
-        if blocks < e.rdd.getNumPartitions():
-            e = e.coalesce(blocks)
-        e = cut(e.mapInArrow(_contract, "u long, v long"))
+        e = cut(e.coalesce(blocks).mapInArrow(_contract, "u long, v long"))
         if blocks == 1:
             break
         e = cut(e.distinct())
@@ -110,7 +126,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut(spread(e, up.withColumnRenamed("u", "v"), "v", hot_keys(down, "v", "n"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
         low = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
         small = spread(large, low, "u", hot_keys(low, "u", "n")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        e = cut(few(small.unionByName(low.select("u", F.col("m").alias("v")))).distinct())
         before, mark = mark, _mark(e)
         n = mark[0]
         del up, down, large, low, small
