@@ -198,9 +198,10 @@ def normalized(df: DataFrame, name: str = "business_name", *, costs: dict[str, f
     """
     df = df.drop(*OUTPUTS)
     own = df.columns
-    strip: Column = F.col(name) if keep_marks else text.fold_accents(F.col(name))
-    layers: Layer = program("_in")
-    out = apply(df.withColumn("_in", strip), layers[:3])
-    if costs is not None:
-        out = out.withColumn("_domain", text.segmented(F.col("_domain"), costs))
-    return apply(out, layers[3:]).select(*own, *OUTPUTS)
+    return apply(df.withColumn("_in", prepared(F.col(name), costs, keep_marks)), program("_in")).select(*own, *OUTPUTS)
+
+
+def prepared(name: Column, costs: dict[str, float] | None = None, keep_marks: bool = False) -> Column:
+    """What of a name's normalisation needs Python; it goes before the rule layers."""
+    folded = name if keep_marks else text.fold_accents(name)
+    return folded if costs is None else text.hyphenated(folded, costs, DOMAIN)

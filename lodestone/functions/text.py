@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -46,12 +47,44 @@ def fold_accents(c: Column) -> Column:
 _SINGLE = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "þ": "th", "Þ": "Th", "ð": "d", "ı": "i", "’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "..."}
 
 
+# Letters of other alphabets with their customary Latin letters, in the order of the alphabets.
+LETTERS = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "ґ": "g", "д": "d", "ђ": "dj", "е": "e", "є": "ie", "ж": "zh", "з": "z", "и": "i", "і": "i", "ј": "j", "к": "k", "л": "l",
+    "љ": "lj", "м": "m", "н": "n", "њ": "nj", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "ћ": "c", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "џ": "dz",
+    "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "iu", "я": "ia",
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p",
+    "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+    "א": "a", "ב": "b", "ג": "g", "ד": "d", "ה": "h", "ו": "v", "ז": "z", "ח": "kh", "ט": "t", "י": "y", "כ": "k", "ך": "k", "ל": "l", "מ": "m", "ם": "m", "נ": "n",
+    "ן": "n", "ס": "s", "ע": "", "פ": "p", "ף": "p", "צ": "ts", "ץ": "ts", "ק": "q", "ר": "r", "ש": "sh", "ת": "t",
+    "ا": "a", "ب": "b", "پ": "p", "ة": "h", "ت": "t", "ث": "th", "ج": "j", "چ": "ch", "ح": "h", "خ": "kh", "د": "d", "ذ": "dh", "ر": "r", "ز": "z", "ژ": "zh", "س": "s",
+    "ش": "sh", "ص": "s", "ض": "d", "ط": "t", "ظ": "z", "ع": "", "غ": "gh", "ف": "f", "ق": "q", "ک": "k", "ك": "k", "گ": "g", "ل": "l", "م": "m", "ن": "n", "ه": "h",
+    "و": "w", "ى": "a", "ي": "y", "ی": "y", "ء": "",
+}
+# The sounds of Korean syllables' first, middle and last parts, in the order of Unicode.
+HANGUL = (
+    ["g", "kk", "n", "d", "tt", "r", "m", "b", "pp", "s", "ss", "", "j", "jj", "ch", "k", "t", "p", "h"],
+    ["a", "ae", "ya", "yae", "eo", "e", "yeo", "ye", "o", "wa", "wae", "oe", "yo", "u", "wo", "we", "wi", "yu", "eu", "ui", "i"],
+    ["", "k", "k", "k", "n", "n", "n", "t", "l", "k", "m", "l", "l", "l", "p", "l", "m", "p", "p", "t", "t", "ng", "t", "t", "k", "t", "p", "t"],
+)
+
+
 @lru_cache(maxsize=65536)
 def _sound(c: str) -> tuple[str, str]:
-    """What a character stands for, from its Unicode name: (kind, Latin letters)."""
+    """What a character stands for, by the tables or from its Unicode name: (kind, Latin letters)."""
     if c in _SINGLE:
         return "plain", _SINGLE[c]
+    if "가" <= c <= "힣":
+        rest, last = divmod(ord(c) - ord("가"), len(HANGUL[2]))
+        first, middle = divmod(rest, len(HANGUL[1]))
+        return "plain", HANGUL[0][first] + HANGUL[1][middle] + HANGUL[2][last]
+    bare = without_marks(c)
+    for x in (c, bare):
+        if x.lower() in LETTERS:
+            sound = LETTERS[x.lower()]
+            return "plain", sound if x == x.lower() else sound.capitalize()
     name = unicodedata.name(c, "")
+    if name.startswith("CJK "):
+        return "plain", f" u{ord(c):x} "
     if " VOWEL SIGN " in name:
         return "sign", name.rpartition(" VOWEL SIGN ")[2].split()[-1].lower()
     if name.endswith((" VIRAMA", " SIGN NUKTA")):
@@ -74,7 +107,9 @@ _ABUGIDAS = {"DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL",
 def transliterate(s: str) -> str:
     """ASCII for any text: marks are dropped, letters of other scripts read by their Unicode names.
 
-    In scripts of South Asia a consonant carries an ``a`` unless a vowel sign or a virama follows.
+    In scripts of South Asia a consonant carries an ``a`` unless a vowel sign or a virama follows.  Cyrillic, Greek, Hebrew
+    and Arabic letters and Korean syllables have tables; short vowels that aren't written aren't guessed.  A Chinese
+    character, whose reading no rule gives, is a word of its own that names its code: equal names stay equal.
     """
     if s.isascii():
         return s
@@ -103,34 +138,52 @@ def transliterated(c: Column) -> Column:
 
 
 def word_costs(df: DataFrame, text_col: str, most: int = 50_000) -> dict[str, float]:
-    """Costs (negative log frequency) of the ``most`` commonest words: the bound on what is broadcast."""
-    words = df.select(F.explode(F.split(F.lower(F.col(text_col)), r"[^a-z0-9]+")).alias("w")).filter(F.length("w") > 1)
+    """Costs (negative log frequency) of the ``most`` commonest words: the bound on what is broadcast.
+
+    A word counts only where it stands by itself: parts of web addresses don't.
+    """
+    words = df.select(F.explode(F.split(F.lower(F.regexp_replace(F.col(text_col), r"(?i)\S*(?:www\.|://|\.(?:com|org|net|in|co|io|ai|biz|info|us)\b)\S*", " ")), r"[^a-z0-9]+")).alias("w")).filter(F.length("w") > 1)
     rows = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most).collect()
     total = sum(r["count"] for r in rows) or 1
     return {r["w"]: math.log(total / r["count"]) for r in rows}
 
 
 def segment(s: str, costs: dict[str, float], longest: int = 24) -> str:
-    """The cheapest cut of a glued string into known words; an unknown letter costs more than any word."""
+    """The cheapest cut of a glued string into known words; what no word covers stays in one piece."""
     low, dear = s.lower(), max(costs.values(), default=1.0) + 5
     best = [(0.0, 0)]
     for i in range(1, len(low) + 1):
-        best.append(min((best[j][0] + costs.get(low[j:i], dear * (i - j) if i - j == 1 else float("inf")), j) for j in range(max(0, i - longest), i)))
-    cuts, i = [], len(low)
-    while i:
-        cuts.append(s[best[i][1] : i])
-        i = best[i][1]
-    return " ".join(reversed(cuts))
+        best.append(min((best[j][0] + costs.get(low[j:i], dear if i - j == 1 else float("inf")), j) for j in range(max(0, i - longest), i)))
+    parts: list[str] = []
+    unknown, end = False, len(low)
+    while end:
+        start = best[end][1]
+        strange = low[start:end] not in costs
+        if strange and unknown:
+            parts[-1] = s[start:end] + parts[-1]
+        else:
+            parts.append(s[start:end])
+        unknown, end = strange, start
+    return " ".join(reversed(parts))
+
 
+def hyphenated(c: Column, costs: dict[str, float], pattern: str) -> Column:
+    """The text with hyphens between the words of its web addresses; ``pattern``'s first group is the name in an address.
+
+    Only texts with an address reach Python.
+    """
+    sent, of = costs, re.compile(pattern, re.IGNORECASE)
 
-def segmented(c: Column, costs: dict[str, float]) -> Column:
-    """``segment`` of every white-space delimited part."""
+    def address(m: re.Match) -> str:
+        a, b = m.start(1) - m.start(), m.end(1) - m.start()
+        body = re.sub(r"[^._\-]+", lambda w: segment(w[0], sent).replace(" ", "-") if w[0].lower() != "www" else w[0], m[1])
+        return m[0][:a] + body + m[0][b:]
 
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: " ".join(segment(w, costs) for w in t.split()), na_action="ignore")
+        return s.map(lambda t: of.sub(address, t), na_action="ignore")
 
-    return run(c)
+    return F.coalesce(run(F.when(c.rlike(f"(?i){pattern}"), c)), c)
 
 
 def metaphone(word: str) -> str:

@@ -11,10 +11,10 @@ from lodestone.plans.adapter import entities, table, truth_pairs
 from lodestone.plans.catalog import query
 from lodestone.plans.records import NORMALIZED_SQL, over_entities, stored
 
-#: Blocks are small at test scale, so that the limit matters there.
-LIMIT, CANDIDATES = 40, 10
-TOKENS = blocking.BlockingConfig(enable_tfidf=False, enable_phonetic=False, enable_address=False, max_block_size=LIMIT, max_candidates_per_query=CANDIDATES)
-BOTH = blocking.BlockingConfig(enable_tfidf=False, enable_phonetic=False, max_block_size=LIMIT, max_candidates_per_query=CANDIDATES)
+#: The limits are the operator's own.
+TOKENS = blocking.BlockingConfig(enable_tfidf=False, enable_phonetic=False, enable_address=False)
+BOTH = blocking.BlockingConfig(enable_tfidf=False, enable_phonetic=False)
+LIMIT, CANDIDATES = BOTH.max_block_size, BOTH.max_candidates_per_query
 
 _NAME = "trim(coalesce(norm_name_no_legal, ''))"
 _BARE = f"CASE WHEN lower({keys.without_honorifics(DUCK, _NAME)}) <> lower({_NAME}) THEN {keys.without_honorifics(DUCK, _NAME)} END"

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
-_MODULES = ("records", "blocks", "pairs", "evaluation", "profiles")
+_MODULES = ("records", "blocks", "pairs", "evaluation", "profiles", "golden")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -30,14 +30,25 @@ def parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Puts ``df``, which may read from ``path``, in its place: written beside it, then renamed."""
+    """Puts ``df``, which may read from ``path``, in its place: written beside it, then renamed.
+
+    The old table is deleted only when the new one stands in its place; if that fails, it is put back.
+    """
     p, fs = _fs(df, path)
     new, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
+    if fs.exists(p(old)):
+        if fs.exists(p(path)):
+            fs.delete(p(old), True)
+        elif not fs.rename(p(old), p(path)):  # an earlier run ended between its renames
+            raise OSError(f"can't put {old} back")
     df.write.mode("overwrite").parquet(new)
-    fs.delete(p(old), True)
-    if fs.exists(p(path)):
-        fs.rename(p(path), p(old))
-    fs.rename(p(new), p(path))
+    was = fs.exists(p(path))
+    if was and not fs.rename(p(path), p(old)):
+        raise OSError(f"can't move {path} aside")
+    if not fs.rename(p(new), p(path)):
+        if was and not fs.rename(p(old), p(path)):
+            raise OSError(f"can't put {new} in place; the old table is in {old}")
+        raise OSError(f"can't put {new} in place; the old table stays")
     fs.delete(p(old), True)
 
 
@@ -47,7 +58,10 @@ def tsv(df: DataFrame, path: str) -> None:
 
 
 def one_file(df: DataFrame, path: str) -> None:
-    """One tab separated file with one header, rows in the order of ``df``: sorted parts are joined one after the other."""
+    """One tab separated file with one header, rows in the order of ``df``: sorted parts are joined one after the other.
+
+    A single file is written by a single writer: all its bytes pass through the driver.
+    """
     parts = f"{path}.parts"
     text = df.select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)).alias("value"))
     text.write.mode("overwrite").text(parts)

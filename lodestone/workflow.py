@@ -2,31 +2,45 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import names, records
+from lodestone.functions import names, records, text
 from lodestone.operators import blocking, features, matcher, metrics, profile, sampling, submission
 from lodestone.sources import readers, writers
 
 PAIR = features.PAIR
+#: The table of word costs beside the normalised sources (50,000 words at most).
+WORD_COSTS = "word_costs.parquet"
 
 
 def normalize(spark: SparkSession, directory: str, out: str, splits: tuple[str, ...] = ("train", "test")) -> dict[str, str]:
-    """Normalises the three sources of each split; the paths written, by name."""
+    """Normalises the three sources of each split; the paths written, by name.
+
+    Glued web names are cut into words by the words of all names; the costs are kept beside the tables for later runs.
+    """
+    given = {(split, n): readers.source(spark, split, n, directory, missing_as_null=False) for split in splits for n in (1, 2, 3)}
+    every = [df.select("business_name") for df in given.values()]
+    costs = text.word_costs(reduce(DataFrame.unionByName, every), "business_name")
+    writers.parquet(spark.createDataFrame(sorted(costs.items()), "word string, cost double"), f"{out}/{WORD_COSTS}")
     done = {}
-    for split in splits:
-        for n in (1, 2, 3):
-            df = readers.source(spark, split, n, directory, missing_as_null=False)
-            done[f"{split}_source{n}"] = path = f"{out}/{split}_source{n}.parquet"
-            writers.normalized(records.normalized(df), path)
+    for (split, n), df in given.items():
+        done[f"{split}_source{n}"] = path = f"{out}/{split}_source{n}.parquet"
+        writers.normalized(records.normalized(df, costs=costs), path)
     return done
 
 
 def renormalize_names(spark: SparkSession, path: str) -> None:
-    """Names of a normalised table anew, in its place; all other columns as they are."""
+    """Names of a normalised table anew, in its place; all other columns as they are.
+
+    Word costs are those kept beside the table; without them, those of the table's own names.
+    """
     df = spark.read.parquet(path)
-    new = names.normalized(df).select(*(c for c in df.columns))
+    kept = f"{path.rstrip('/').rpartition('/')[0]}/{WORD_COSTS}"
+    costs = {r[0]: r[1] for r in spark.read.parquet(kept).collect()} if readers.exists(spark, kept) else text.word_costs(df, "business_name")
+    new = names.normalized(df, costs=costs).select(*(c for c in df.columns))
     writers.replace(new, path)
 
 
