@@ -291,10 +291,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     def logits(part: pa.RecordBatch) -> pa.RecordBatch:
         w = words_of(texts_of(part.column(1)), shape)
-        return pa.record_batch([pa.array(w.lang, pa.int32()), part.column(0), pa.array(np.round(sent.value.logits(w) * STEP).astype(np.int64))], names=["lang", "label", "z"])
+        return pa.record_batch([part.column(0), pa.array(w.lang, pa.int32()), pa.array(np.round(sent.value.logits(w) * STEP).astype(np.int64))], names=["k", "lang", "z"])
 
     if not rest.isEmpty():
-        scored = texts.join(rest, "k").select("label", "text").mapInArrow(map_slices(logits, "text", 1 << 20), "lang int, label int, z long")
+        # Logits are joined with the labels, not texts: what is shuffled is a few bytes a row.
+        scored = texts.filter("k is not null").mapInArrow(map_slices(logits, "text", 1 << 20), "k string, lang int, z long").join(rest, "k")
         for r in scored.groupBy("lang", "label", F.least(F.greatest("z", F.lit(-4096)), F.lit(4096)).alias("z")).count().collect():
             counts[r[0], r[1], r[2]] += r[3]
     calibrate(net, [(*k, n) for k, n in sorted(counts.items())])
