@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.staging import staged
+
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v): vectors that aren't null or empty, without null or non-finite components, and not of length 0."""
@@ -16,52 +19,79 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v")).filter(F.exists("v", lambda x: x != 0))
 
 
-def cosine_neighbours(queries: DataFrame, corpus: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """(query_id, rank, neighbour_id, cosine) of the ``k`` nearest corpus vectors of other ids.
+class Best:
+    """The ``k`` best candidates of each query, ties to the smaller id."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k = k
+        self.sim = np.full((queries, k), -np.inf)
+        self.id = np.full((queries, k), np.iinfo(np.int64).max)
+
+    def add(self, sim: np.ndarray, ids: np.ndarray) -> None:
+        """``sim``: a row a query, a column a candidate.  Only what reaches a query's last place is sorted."""
+        rows, cols = np.nonzero((sim >= self.sim[:, -1:]) & (sim > -np.inf))
+        if not len(rows):
+            return
+        every = np.concatenate([np.repeat(np.arange(len(self.sim)), self.k), rows])
+        all_sim, all_id = np.concatenate([self.sim.ravel(), sim[rows, cols]]), np.concatenate([self.id.ravel(), ids[cols]])
+        order = np.lexsort((all_id, -all_sim, every))
+        pick = order[np.searchsorted(every[order], np.arange(len(self.sim)))[:, None] + np.arange(self.k)]
+        self.sim, self.id = all_sim[pick], all_id[pick]
+
 
-    Both are ``usable``.  ``block`` queries at a time (the bound on what is broadcast) meet every partition of the
-    corpus, which keeps k rows a query.
+FOUND = "query long, query_id long, neighbour_id long, cosine double"
+
+
+def _near(sent, k: int, chunk: int):
+    def run(batches):
+        first, ids, q = sent.value
+        best = Best(len(ids), k)
+        for batch in batches:
+            size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(size == q.shape[1])
+            for a in range(0, len(at), chunk):
+                own = pa.array(at[a : a + chunk])
+                m = batch.column(1).take(own).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+                theirs = batch.column(0).take(own).to_numpy()
+                sim = q @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T
+                sim[ids[:, None] == theirs[None, :]] = -np.inf
+                best.add(sim, theirs)
+        r, c = np.nonzero(np.isfinite(best.sim))
+        yield pa.record_batch([pa.array(first + r), pa.array(ids[r]), pa.array(best.id[r, c]), pa.array(best.sim[r, c])], names=["query", "query_id", "neighbour_id", "cosine"])
+
+    return run
+
+
+def cosine_neighbours(queries: DataFrame, corpus: DataFrame, k: int, block: int = 4096, chunk: int = 1024) -> DataFrame:
+    """(query_id, rank, neighbour_id, cosine) of the ``k`` nearest corpus vectors of other ids, for each row of ``queries``.
+
+    Both are ``usable``; rows that repeat an id are queries of their own.  ``block`` queries at a time (the bound on what
+    is broadcast) meet every partition of the corpus in a job of its own; a task holds ``block`` x ``chunk`` similarities
+    and keeps k rows a query.
     """
     spark = corpus.sparkSession
-    schema = "query_id long, neighbour_id long, cosine double"
-
-    def near(sent):
-        def run(batches):
-            ids, q = sent.value
-            best = [(np.full((len(ids), 0), 0, dtype=np.int64), np.empty((len(ids), 0)))]
-            for batch in batches:
-                v = [x for x in batch.column(1).to_pylist()]
-                at = [i for i, x in enumerate(v) if len(x) == q.shape[1]]
-                if not at:
-                    continue
-                m = np.array([v[i] for i in at])
-                own = batch.column(0).to_numpy()[at]
-                sim = q @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T
-                sim[ids[:, None] == own[None, :]] = -np.inf
-                all_ids = np.hstack([best[0][0], np.broadcast_to(own, sim.shape)])
-                all_sim = np.hstack([best[0][1], sim])
-                order = np.lexsort((all_ids, -all_sim), axis=1)[:, :k]
-                best = [(np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_sim, order, 1))]
-            r, c = np.nonzero(np.isfinite(best[0][1]))
-            yield pa.record_batch([pa.array(ids[r]), pa.array(best[0][0][r, c]), pa.array(best[0][1][r, c])], names=["query_id", "neighbour_id", "cosine"])
-
-        return run
-
-    found, rows = spark.createDataFrame([], schema), []
-
-    def flush(found: DataFrame) -> DataFrame:
-        for dim in sorted({len(r[1]) for r in rows}):
-            own = [r for r in rows if len(r[1]) == dim]
-            q = np.array([r[1] for r in own])
-            sent = spark.sparkContext.broadcast((np.array([r[0] for r in own], dtype=np.int64), q / np.linalg.norm(q, axis=1, keepdims=True)))
-            found = found.unionByName(corpus.select("id", "v").mapInArrow(near(sent), schema))
-        rows.clear()
-        return found
+    parts: list[DataFrame] = []
+    n, held = 0, {}
+
+    def flush() -> None:
+        nonlocal n, held
+        for ids, vecs in held.values():
+            q = np.array(vecs)
+            sent = spark.sparkContext.broadcast((n, np.array(ids, dtype=np.int64), q / np.linalg.norm(q, axis=1, keepdims=True)))
+            parts.append(staged(corpus.select("id", "v").mapInArrow(_near(sent, k, chunk), FOUND)))
+            sent.destroy()
+            n += len(ids)
+        held = {}
 
     for row in queries.select("id", "v").toLocalIterator():
-        rows.append(row)
-        if len(rows) == block:
-            found = flush(found)
-    found = flush(found)
-    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "neighbour_id")
+        ids, vecs = held.setdefault(len(row[1]), ([], []))
+        ids.append(row[0])
+        vecs.append(row[1])
+        if sum(len(x) for x, _ in held.values()) == block:
+            flush()
+    flush()
+    found = parts[0] if parts else spark.createDataFrame([], FOUND)
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    w = Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbour_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "cosine")

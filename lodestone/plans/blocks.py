@@ -39,7 +39,19 @@ def block_address_keys(spark, d):
     return rows.groupBy("entity_id", "key").agg(F.count(F.lit(1)).alias("times"))
 
 
-@query("block_soundex_keys")
+#: Soundex of a word ``w`` with the codes ``c`` of its letters: H and W part nothing, vowels (0) part equal codes.
+_CODES = "translate(concat(w[1], regexp_replace(substr(w, 2), '[hw]', '', 'g')), 'aeiouyhwbfpvcgjkqsxzdtlmnr', '00000000111122222222334556')"
+_SOUNDEX = "rpad(concat(upper(w[1]), replace(substr(array_to_string(list_filter(string_split(c, ''), lambda x, i: i = 1 OR x <> c[i - 1]), ''), 2), '0', '')), 4, '0')[1:4]"
+
+
+def _phonetic_words(source: str, tag: str) -> str:
+    """The first word that sounds of each name, as the keys take it."""
+    plain = f"list_filter(string_split_regex(regexp_replace(lower({source}), '{keys.WEB_BITS}', ' ', 'g'), '[^a-zA-Z0-9]+'), lambda x: length(x) >= 3 AND regexp_full_match(x, '[a-z]+'))"
+    stop = ", ".join(f"'{w}'" for w in keys.STOP_WORDS)
+    return f"SELECT entity_id, '{tag}' AS tag, CASE WHEN len(list_filter(ws, lambda x: x NOT IN ({stop}))) > 0 THEN list_filter(ws, lambda x: x NOT IN ({stop}))[1] ELSE ws[1] END AS w FROM (SELECT entity_id, {plain} AS ws FROM (SELECT *, {_NAME} AS _raw, {_BARE} AS _bare2 FROM ({NORMALIZED_SQL})) WHERE {source} IS NOT NULL)"
+
+
+@query("block_soundex_keys", f"SELECT DISTINCT entity_id, concat(tag, 'SND1:', {_SOUNDEX}) AS key FROM (SELECT *, {_CODES} AS c FROM ({_phonetic_words('_raw', '')} UNION ALL {_phonetic_words('_bare2', 'PFX_')}) WHERE w IS NOT NULL)")
 def block_soundex_keys(spark, d):
     rows = keys.phonetic_key_column(stored(spark, d), "norm_name_no_legal").select("entity_id", F.explode_outer("phonetic_keys").alias("key")).filter("key is not null")
     return rows.filter(F.col("key").contains("SND1:"))
@@ -231,9 +243,9 @@ def tfidf_dense_knn(spark, d):
 
 @query(
     "vector_knn",
-    "WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), c AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), "
-    "s AS (SELECT q.vec_id AS query_id, c.vec_id AS neighbour_id, list_cosine_similarity(q.v, c.v) AS cosine FROM q, c WHERE q.vec_id <> c.vec_id) "
-    "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, neighbour_id) AS INT) AS rank, neighbour_id, round(cosine, 6) AS cosine FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, neighbour_id) <= 10",
+    "WITH c AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, embedding::DOUBLE[] AS v FROM embeddings), "
+    "s AS (SELECT q.i, q.vec_id AS query_id, c.vec_id AS neighbour_id, list_cosine_similarity(q.v, c.v) AS cosine FROM c q, c WHERE q.vec_id <> c.vec_id AND q.vec_id % 50 = 0) "
+    "SELECT query_id, CAST(row_number() OVER (PARTITION BY i ORDER BY cosine DESC, neighbour_id) AS INT) AS rank, neighbour_id, round(cosine, 6) AS cosine FROM s QUALIFY row_number() OVER (PARTITION BY i ORDER BY cosine DESC, neighbour_id) <= 10",
 )
 def vector_knn(spark, d):
     v = vectors.usable(table(spark, d, "embeddings"), "vec_id", "embedding")

@@ -63,3 +63,16 @@ def test_replace_in_place(spark, tmp_path):
     writers.replace(spark.read.parquet(path).withColumn("x", F.col("id") + 1), path)
     assert spark.read.parquet(path).agg(F.sum("x")).first()[0] == 15
     assert "| id |" in writers.markdown(spark.range(2), "T")
+
+
+def test_lines_keeps_a_repeated_header(spark, tmp_path):
+    (tmp_path / "m.tsv").write_text("a\tb\nx\ty\na\tb\n")
+    first, rest = readers.lines(spark, str(tmp_path / "m.tsv"))
+    assert first == "a\tb" and [r[0] for r in rest.collect()] == ["x\ty", "a\tb"]
+
+
+def test_replace_puts_back_what_a_run_left_aside(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path + ".old")  # a run that ended between its renames
+    writers.replace(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5 and not (tmp_path / "t.old").exists()
