@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,9 @@ def parser() -> argparse.ArgumentParser:
     sweep = (("--min-thresh", {"type": float, "default": 0.5}), ("--max-thresh", {"type": float, "default": 0.95}), ("--step-thresh", {"type": float, "default": 0.05}))
     step("normalize", raw, out)
     step("renormalize", ("--table", need))
+    step("split", data, out, ("--ground-truth", need), ("--share", {"type": float, "default": 0.2}), ("--seed", {"type": int, "default": 42}))
+    step("blocking", data, ("--ground-truth", need), ("--sample", {"type": int, "default": 0}), ("--max-candidates", {"type": int, "default": 200}), ("--max-block-size", {"type": int, "default": 1200}))
+    step("run", data, split, ("--model", need), out, ("--threshold", {"type": float}))
     step("candidates", data, split, out, ("--max-candidates", {"type": int, "default": 25}), ("--max-block-size", {"type": int, "default": 1200}), ("--sample", {"type": int, "default": 0}))
     step("features", data, split, out, ("--candidate-pairs", need), ("--ground-truth", {}))
     step("train", data, out, ("--features", need), ("--ground-truth", need), *sweep)
@@ -39,6 +43,15 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(args: list[str] | None = None) -> int:
+    """The exit status: 0, 1 for findings, 2 for tables that can't be read or written."""
+    try:
+        return _main(args)
+    except (OSError, UnicodeDecodeError, AnalysisException) as e:
+        print(f"lodestone: {e}", file=sys.stderr)
+        return 2
+
+
+def _main(args: list[str] | None) -> int:
     a = parser().parse_args(args)
     spark = SparkSession.builder.appName(f"lodestone {a.step}").getOrCreate()
     truth = readers.truth_pairs(readers.truth_lists(readers.tsv(spark, a.ground_truth, readers.TRUTH, missing_as_null=False))) if getattr(a, "ground_truth", None) else None
@@ -48,6 +61,14 @@ def main(args: list[str] | None = None) -> int:
         print(*workflow.normalize(spark, a.raw_dir, a.out).values(), sep="\n")
     elif a.step == "renormalize":
         workflow.renormalize_names(spark, a.table)
+    elif a.step == "split":
+        print(writers.markdown(workflow.create_split(spark, a.data_dir, truth, a.out, a.share, a.seed), "Split"))
+    elif a.step == "blocking":
+        config = BlockingConfig(enable_tfidf=False, max_candidates_per_query=a.max_candidates, max_block_size=a.max_block_size)
+        for name, df in workflow.evaluate_blocking(spark, a.data_dir, truth, config, sample=a.sample).items():
+            print(writers.markdown(df, name))
+    elif a.step == "run":
+        print(writers.markdown(workflow.run(spark, a.data_dir, a.split, a.model, a.out, threshold=a.threshold), "Singletons"))
     elif a.step == "candidates":
         config = BlockingConfig(enable_tfidf=False, max_candidates_per_query=a.max_candidates, max_block_size=a.max_block_size)
         workflow.candidates(spark, a.data_dir, a.split, a.out, config, sample=a.sample)

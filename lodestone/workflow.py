@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import names, records, text
 from lodestone.operators import blocking, features, matcher, metrics, profile, sampling, submission
 from lodestone.sources import readers, writers
+from lodestone.sources.staging import staged
 
 PAIR = features.PAIR
 #: The table of word costs beside the normalised sources (50,000 words at most).
@@ -82,6 +83,53 @@ def split_entities(entities: DataFrame, truth: DataFrame, share: float = 0.2, se
     return sampling.split(sampling.strata(entities, truth), "entity_id", ["stratum"], share, seed)
 
 
+def create_split(spark: SparkSession, data: str, truth: DataFrame, out: str, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """Writes the split of the training queries as JSON; its counts by stratum."""
+    entities = spark.read.parquet(f"{data}/train_source1.parquet")
+    rows = staged(split_entities(entities, truth, share, seed))
+    writers.split_file(rows, out, {"share": share, "seed": seed})
+    return sampling.strata_table(rows).orderBy("stratum")
+
+
+def evaluate_blocking(spark: SparkSession, data: str, truth: DataFrame, config: blocking.BlockingConfig | None = None, *, part: DataFrame | None = None, part_name: str | None = None, sample: int = 0) -> dict[str, DataFrame]:
+    """Recall, reduction and the ceiling of F0.5 by country, and what each strategy alone finds, over the training queries or a part or sample of them."""
+    q, c = sources(spark, data, "train")
+    q = readers.queries(q, part, part_name)
+    if sample:
+        q = sampling.stratified(q, "entity_id", "country", sample)
+    q = staged(q)
+    own = truth.join(q.select(F.col("entity_id").alias(PAIR[0])), PAIR[0], "left_semi")
+    blocker = blocking.MultiStrategyBlocker(config or blocking.BlockingConfig()).fit(c)
+    found = blocking.quality(q, staged(blocker.block_pairs(q)), own, c)
+    r = F.col("pair_recall") / 100
+    return {"by_country": found.withColumn("f05_ceiling", F.round(125.0 * r / (0.25 + r), 4)).orderBy("country"), "by_strategy": blocking.ablation(blocker, q, own)}
+
+
+def run(spark: SparkSession, data: str, split: str, model: str, out: str, config: blocking.BlockingConfig | None = None, threshold: float | None = None) -> DataFrame:
+    """Blocks, scores and writes both lists of a normalised split in one go; the singleton rate.
+
+    Only the scored pairs are kept between blocking and the lists; no matrix is written.  Records are in the order of their ids.
+    """
+    q, c = sources(spark, data, split)
+    path = f"{data}/train_source1.parquet"
+    fx = features.FeatureExtractor().fit((spark.read.parquet(path) if readers.exists(spark, path) else q).select("norm_name"))
+    pairs = staged(blocking.MultiStrategyBlocker(config or blocking.BlockingConfig.production()).fit(c).block_pairs(q).select(*PAIR))
+    found = matcher.Matcher.load(spark, model)
+    scored = staged(found.score(fx.matrix(pairs, features.lookup(q), features.lookup(c))).select(*PAIR, "prob"))
+    ids = q.select(F.col("entity_id").alias("position"), F.col("entity_id").alias(PAIR[0]))
+    return write_lists(ids, scored, pairs, found.threshold(threshold), out)
+
+
+def write_lists(ids: DataFrame, scored: DataFrame, pairs: DataFrame, threshold: float, out: str) -> DataFrame:
+    """Writes matching_results.tsv and candidate_pairs.tsv, a row for each of ``ids`` in order of ``position``; the singleton rate."""
+    lists = submission.match_lists(scored, threshold)
+    given = submission.ordered_lists(pairs, F.lit(0), "candidates")
+    writers.one_file(submission.submission(ids, lists, "matched"), f"{out}/matching_results.tsv")
+    writers.one_file(submission.submission(ids, given, "candidates", "candidate_entity_ids"), f"{out}/candidate_pairs.tsv")
+    empty = F.array().cast("array<string>")
+    return metrics.singleton_rates(ids.join(lists, PAIR[0], "left").select(F.coalesce("matched", empty).alias("matched")))
+
+
 def train(spark: SparkSession, matrix: str, entities: DataFrame, truth: DataFrame, out: str, params: matcher.MatcherParams = matcher.MatcherParams(), thresholds: list[float] | None = None) -> matcher.Matcher:
     """Trains on a split of the entities, tunes the threshold on its validation part, saves model and report."""
     m = spark.read.parquet(matrix)
@@ -106,15 +154,10 @@ def evaluate(spark: SparkSession, model: str, matrix: str, entities: DataFrame,
 
 
 def infer(spark: SparkSession, model: str, matrix: str, pairs: str, source1: DataFrame, out: str, threshold: float | None = None) -> DataFrame:
-    """Writes matching_results.tsv and candidate_pairs.tsv, a row for each record of ``source1`` in its order; the singleton rate."""
+    """Writes matching_results.tsv and candidate_pairs.tsv, a row for each record of ``source1`` in its order (one file's); the singleton rate."""
     found = matcher.Matcher.load(spark, model)
     ids = source1.select(F.monotonically_increasing_id().alias("position"), F.col("entity_id").alias(PAIR[0]))
-    lists = submission.match_lists(found.score(spark.read.parquet(matrix)), found.threshold(threshold))
-    given = submission.ordered_lists(spark.read.parquet(pairs), F.lit(0), "candidates")
-    writers.one_file(submission.submission(ids, lists, "matched"), f"{out}/matching_results.tsv")
-    writers.one_file(submission.submission(ids, given, "candidates", "candidate_entity_ids"), f"{out}/candidate_pairs.tsv")
-    empty = F.array().cast("array<string>")
-    return metrics.singleton_rates(ids.join(lists, PAIR[0], "left").select(F.coalesce("matched", empty).alias("matched")))
+    return write_lists(ids, found.score(spark.read.parquet(matrix)), spark.read.parquet(pairs), found.threshold(threshold), out)
 
 
 def validate(spark: SparkSession, matching: str, required: DataFrame, known: DataFrame | None = None, candidates_path: str | None = None) -> tuple[bool, DataFrame]:

@@ -48,10 +48,23 @@ def test_end_to_end(spark, tmp_path, monkeypatch):
     source1 = readers.source(spark, "test", 1, raw)
     rate = workflow.infer(spark, f"{data}/model", f"{data}/matrix_test.parquet", f"{data}/pairs_test.parquet", source1, f"{data}/out").first()
     assert rate.entities == 60 and 5 <= rate.singletons <= 25
+    fused = workflow.run(spark, data, "test", f"{data}/model", f"{data}/fused").first()
+    assert fused == rate
+
+    def lists(path):
+        return sorted((tmp_path / "data" / path).read_text().splitlines()[1:])
+
+    assert lists("fused/matching_results.tsv") == lists("out/matching_results.tsv")
+    table = workflow.create_split(spark, data, truth, f"{data}/split.json").collect()
+    assert sum(r.total for r in table) == 60 and readers.split_file(spark, f"{data}/split.json").filter("split = 'val'").count() == sum(r.val for r in table)
+    blocks = workflow.evaluate_blocking(spark, data, truth)
+    best = blocks["by_country"].filter("country IS NULL").first()
+    assert best.pair_recall > 95 and best.f05_ceiling > 0.95 and blocks["by_strategy"].count() >= 3
     monkeypatch.setattr(spark, "stop", lambda: None)
     d = f"{raw}/test/test_source"
     args = ["validate", "--matching", f"{data}/out/matching_results.tsv", "--source1", f"{d}1.tsv", "--candidate", f"{data}/out/candidate_pairs.tsv", "--corpus", f"{d}2.tsv", f"{d}3.tsv"]
     assert cli.main(args) == 0
     (tmp_path / "bad.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-0\tS1-0\n")
     assert cli.main(["validate", "--matching", str(tmp_path / "bad.tsv"), "--source1", f"{d}1.tsv"]) == 1
+    assert cli.main(["validate", "--matching", str(tmp_path / "none.tsv"), "--source1", f"{d}1.tsv"]) == 2
     assert "countries" in workflow.report(spark, raw)
