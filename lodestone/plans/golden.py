@@ -154,6 +154,25 @@ def golden_token_keys(spark, d):
     return keys.token_key_column(rows, "n").select("place", F.array_join(F.array_sort("token_keys"), ",").alias("keys"))
 
 
+# (name beyond ASCII, the keys of its words in Latin letters)
+SCRIPT_TOKENS = [
+    ("groß bau", "XLAT_TOK:bau,XLAT_TOK:gross"),
+    ("москва банк", "XLAT_TOK:bank,XLAT_TOK:moskva"),
+    ("Ελλάδα foods", "XLAT_TOK:ellada,XLAT_TOK:foods"),
+    ("서울 빵집", "XLAT_TOK:ppangjip,XLAT_TOK:seoul"),
+    ("שלום", "XLAT_TOK:shlvm"),
+    ("محمد trading", "XLAT_TOK:mhmd,XLAT_TOK:trading"),
+    ("plain name", ""),
+]
+
+
+@query("golden_script_keys", values("place INT, keys VARCHAR", [(i, r[1]) for i, r in enumerate(SCRIPT_TOKENS)]))
+def golden_script_keys(spark, d):
+    rows = given(spark, "place int, n string", [(i, r[0]) for i, r in enumerate(SCRIPT_TOKENS)])
+    own = F.filter("token_keys", lambda k: k.startswith("XLAT_TOK:"))
+    return keys.token_key_column(rows, "n").select("place", F.array_join(F.array_sort(own), ",").alias("keys"))
+
+
 # (left, right, Levenshtein, Jaro-Winkler, token sort, token set), to four places
 PAIRS = [
     ("martha", "marhta", 0.6667, 0.9611, 0.8333, 0.8333),

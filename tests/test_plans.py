@@ -15,7 +15,7 @@ CHECKED = [
     "feat_levenshtein", "feat_jaro_winkler", "feat_street_unit", "sample_stratified", "split_stratified", "avg_precision", "roc_auc", "macro_by_country", "threshold_sweep", "submission_left_join",
     "validate_duplicates", "validate_prefix", "validate_missing_extra", "profile_nulls", "profile_describe", "profile_top_tokens", "profile_patterns", "vector_knn",
     "block_soundex_keys", "threshold_two_stage", "golden_names", "golden_segmentation", "golden_addresses", "golden_street_units", "golden_transliteration", "golden_phonetic_keys",
-    "golden_token_keys", "golden_similarities",
+    "golden_token_keys", "golden_script_keys", "golden_similarities",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
