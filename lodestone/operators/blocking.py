@@ -1,8 +1,8 @@
 """Multi-strategy blocking: key tables, candidate scores, blocking quality.
 
 The index is a table of (country, strategy, key, entity_id).  Keys of more than ``max_block_size`` entries are
-dropped by a count per key and an anti join, before any pair is made; pairs come from one equi-join on the key and
-one aggregate whose sum is the score.
+dropped by a count per key and an anti join, before any pair is made; pairs are scored by blocks of queries
+(``candidates``), and by one equi-join and a sum where TF-IDF neighbours add to the scores.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import keys
 from lodestone.functions.dialect import SPARK
-from lodestone.operators import tfidf
+from lodestone.operators import candidates, tfidf
 from lodestone.sources.staging import staged
 
 
@@ -118,9 +118,28 @@ class MultiStrategyBlocker:
             parts = parts.unionByName(bonus).groupBy("source1_entity_id", "candidate_entity_id").agg(F.sum("score").alias("score"))
         return parts
 
+    def _rows(self, queries: DataFrame, left: DataFrame | None = None, right: DataFrame | None = None) -> DataFrame:
+        self._check()
+        # All rows of an id go to one block, by the least of its names.
+        near = queries.groupBy("entity_id").agg(F.min(F.struct("country", "norm_name_no_legal")).alias("at")).select("entity_id", "at.country", "at.norm_name_no_legal")
+        return candidates.rows(key_rows(queries, self.config), near, self.index, KEY, left, right)
+
     def block_pairs(self, queries: DataFrame) -> DataFrame:
         """(source1_entity_id, candidate_entity_id, score, rank)."""
-        return top_candidates(self.scores(queries), self.config.max_candidates_per_query)
+        most = self.config.max_candidates_per_query
+        if self.config.enable_tfidf:
+            return top_candidates(self.scores(queries), most)
+        return candidates.top(self._rows(queries), most, False, []).select("source1_entity_id", "candidate_entity_id", "score", "rank")
+
+    def sided_pairs(self, queries: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+        """``block_pairs`` with the looked-up columns of both sides (l_, r_), a row for each pair of looked-up rows.
+
+        ``left``, ``right``: entity_id and the same columns; of a column ``truth`` only ``label`` is shown, whether any rows of the pair agree on it.
+        """
+        if self.config.enable_tfidf:
+            raise ValueError("sided_pairs() is for blocking by keys alone")
+        extra = [c for c in left.columns if c not in ("entity_id", "truth")]
+        return candidates.top(self._rows(queries, left, right), self.config.max_candidates_per_query, "truth" in left.columns, extra)
 
     def block_queries(self, queries: DataFrame) -> DataFrame:
         """Every query with its ordered list of candidates, which may be empty."""
@@ -143,6 +162,16 @@ def quality(queries: DataFrame, pairs: DataFrame, truth: DataFrame, corpus: Data
     hits = truth.select(*pair).distinct().join(pairs.select(*pair).distinct().withColumn("hit", F.lit(1)), pair, "left")
     per_query = hits.groupBy("source1_entity_id").agg(F.count(F.lit(1)).alias("t"), F.count("hit").alias("h"))
     sizes = pairs.groupBy("source1_entity_id").agg(F.countDistinct("candidate_entity_id").alias("c"))
+    return _quality(queries, per_query, sizes, corpus, by)
+
+
+def judged_quality(queries: DataFrame, pairs: DataFrame, totals: DataFrame, corpus: DataFrame, by: str = "country") -> DataFrame:
+    """``quality`` of ``pairs`` that are listed once, with ``label``; ``totals``: (source1_entity_id, t), the true pairs of each query."""
+    sizes = pairs.groupBy("source1_entity_id").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("label").cast("long")).alias("h"))
+    return _quality(queries, totals, sizes, corpus, by)
+
+
+def _quality(queries: DataFrame, per_query: DataFrame, sizes: DataFrame, corpus: DataFrame, by: str) -> DataFrame:
     q = queries.select(F.col("entity_id").alias("source1_entity_id"), by)
     joined = q.join(per_query, "source1_entity_id", "left").join(sizes, "source1_entity_id", "left").fillna(0, ["t", "h", "c"])
     counts = corpus.rollup(by).agg(F.count(F.lit(1)).alias("n_corpus"))
@@ -164,9 +193,14 @@ def ceiling(pair_recall: float) -> float:
     return 1.25 * pair_recall / (0.25 + pair_recall) if pair_recall else 0.0
 
 
-def ablation(blocker: MultiStrategyBlocker, queries: DataFrame, truth: DataFrame) -> DataFrame:
-    """(strategy, candidate_pairs, recalled_pairs) of each strategy alone and of all together."""
+def ablation(blocker: MultiStrategyBlocker, queries: DataFrame, truth: DataFrame | None = None) -> DataFrame:
+    """(strategy, candidate_pairs, recalled_pairs) of each strategy alone and of all together.
+
+    ``truth``: pairs; without it, queries and corpus have a column ``truth`` whose equal values are true pairs.
+    """
     blocker._check()
+    if truth is None:
+        return candidates.by_strategy(blocker._rows(queries, *(x.select("entity_id", "truth") for x in (queries, blocker.corpus))))
     q = key_rows(queries, blocker.config).select(*KEY, F.col("entity_id").alias("source1_entity_id"))
     c = blocker.index.select(*KEY, F.col("entity_id").alias("candidate_entity_id"))
     pair = ["source1_entity_id", "candidate_entity_id"]

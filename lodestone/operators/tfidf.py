@@ -6,13 +6,19 @@ vectors have length 1.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
 
+#: What Spark's split takes as space.
+SPACE = re.compile(r"\s+", re.ASCII)
+
 
 def gram_counts(df: DataFrame, id_col: str, text_col: str, n: int = 3) -> DataFrame:
     """(id, gram, tf)."""
@@ -46,6 +52,67 @@ def pair_cosine(pairs: DataFrame, left: DataFrame, right: DataFrame, out: str =
     return pairs.join(dots, pair, "left").withColumn(out, F.least(F.greatest(F.coalesce(out, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
 
 
+def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(entity_id, text): all texts of an id as one, with the grams of all."""
+    return df.groupBy(F.col(id_col).alias("entity_id")).agg(F.array_join(F.collect_list(text_col), " ").alias("text"))
+
+
+def cosine(idf_table: DataFrame, n: int = 3, most: int = 200_000):
+    """A function of two text columns: the cosine of their vectors, 0 without a common gram; None where ``idf_table`` has over ``most`` rows.
+
+    The table is broadcast; a batch's texts become vectors once each, so no row is made for a gram of a pair.
+    """
+    rows = idf_table.select("gram", "idf").limit(most + 1).toArrow()
+    if len(rows) > most:
+        return None
+    sent = idf_table.sparkSession.sparkContext.broadcast((rows["gram"].to_pylist(), rows["idf"].to_numpy()))
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    place: dict[str, int] = {}
+
+    def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
+        if (v := held.get(text)) is None:
+            count: dict[int, int] = {}
+            for w in SPACE.split(text):
+                if w:
+                    w = f" {w} "
+                    for i in range(max(len(w) - n + 1, 1)):
+                        if (k := place.get(w[i : i + n])) is not None:
+                            count[k] = count.get(k, 0) + 1
+            at = np.fromiter(count, np.int64, len(count))
+            w = np.fromiter(count.values(), np.float64, len(count)) * sent.value[1][at]
+            if len(held) > 50_000:
+                held.clear()
+            v = held[text] = at, w / np.sqrt((w * w).sum())
+        return v
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not place:
+            place.update((g, i) for i, g in enumerate(sent.value[0]))
+        (ca, ua), (cb, ub) = pd.factorize(a), pd.factorize(b)
+        left, right = [vector(x) for x in ua], [vector(x) for x in ub]
+        size = np.array([len(x[0]) for x in right])
+        row, out = np.zeros(len(place)), np.zeros(len(ca))
+        order = np.argsort(ca, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(ca[order])) + 1):
+            at, w = left[ca[own[0]]]
+            row[at] = w
+            some, back = np.unique(cb[own], return_inverse=True)
+            some_full = np.flatnonzero(size[some])
+            if len(some_full):
+                rs = [right[k] for k in some[some_full]]
+                dots = np.zeros(len(some))
+                products = row[np.concatenate([x[0] for x in rs])] * np.concatenate([x[1] for x in rs])
+                ends = np.cumsum(size[some[some_full]])
+                dots[some_full] = np.add.reduceat(products, ends - size[some[some_full]])
+                out[own] = dots[back]
+            row[at] = 0.0
+        return pd.Series(np.clip(out, 0.0, 1.0))
+
+    plain = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return lambda a, b: run(plain(a), plain(b))
+
+
 def similar(left: DataFrame, right: DataFrame, k: int, least: float, by: str = "country", heavy: int = 2000) -> DataFrame:
     """(source1_entity_id, candidate_entity_id, similarity): the ``k`` most similar vectors of each left one within ``by``.
 
