@@ -15,9 +15,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
+from lodestone.sources.staging import staged
 
 #: What Spark's split takes as space.
 SPACE = re.compile(r"\s+", re.ASCII)
+#: Query texts that meet a country's corpus in one task.
+QUERY_BLOCK = 2048
 
 
 def gram_counts(df: DataFrame, id_col: str, text_col: str, n: int = 3) -> DataFrame:
@@ -57,6 +60,18 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.groupBy(F.col(id_col).alias("entity_id")).agg(F.array_join(F.collect_list(text_col), " ").alias("text"))
 
 
+def grams(text_: str, place: dict[str, int], n: int) -> dict[int, int]:
+    """How often a text has each gram that has a place; the text is lower-case and trimmed."""
+    count: dict[int, int] = {}
+    for w in SPACE.split(text_):
+        if w:
+            w = f" {w} "
+            for i in range(max(len(w) - n + 1, 1)):
+                if (k := place.get(w[i : i + n])) is not None:
+                    count[k] = count.get(k, 0) + 1
+    return count
+
+
 def cosine(idf_table: DataFrame, n: int = 3, most: int = 200_000):
     """A function of two text columns: the cosine of their vectors, 0 without a common gram; None where ``idf_table`` has over ``most`` rows.
 
@@ -71,13 +86,7 @@ def cosine(idf_table: DataFrame, n: int = 3, most: int = 200_000):
 
     def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
         if (v := held.get(text)) is None:
-            count: dict[int, int] = {}
-            for w in SPACE.split(text):
-                if w:
-                    w = f" {w} "
-                    for i in range(max(len(w) - n + 1, 1)):
-                        if (k := place.get(w[i : i + n])) is not None:
-                            count[k] = count.get(k, 0) + 1
+            count = grams(text, place, n)
             at = np.fromiter(count, np.int64, len(count))
             w = np.fromiter(count.values(), np.float64, len(count)) * sent.value[1][at]
             if len(held) > 50_000:
@@ -135,60 +144,160 @@ def similar(left: DataFrame, right: DataFrame, k: int, least: float, by: str = "
     return dots.filter(F.col("similarity") >= least).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, name: str, config) -> DataFrame:
-    """Nearest corpus names of each query by TF-IDF cosine, the model fitted on each country's corpus.
+def nearest(queries: DataFrame, corpus: DataFrame, name: str, config, digits: int | None = None) -> DataFrame:
+    """(source1_entity_id, candidate_entity_id, similarity, rank): nearest corpus names of each query by TF-IDF cosine, the model
+    fitted on each country's corpus; ranked by the similarity (rounded to ``digits``), ties by id.
 
-    Names beyond ASCII count together with their transliteration.
+    Names beyond ASCII count together with their transliteration.  Equal names are one text: a block of a country's query
+    texts meets all its corpus texts, with the k smallest ids of each, in one task.  All texts of an id count as one.
     """
     country = F.col("country") if config.country_partition else F.lit("ALL")
     full = F.when(F.col(name).rlike(r"[^\x00-\x7F]"), F.concat_ws(" ", name, text.transliterated(F.col(name)))).otherwise(F.col(name))
-    c, q = (x.select("entity_id", country.alias("country"), full.alias("t")) for x in (corpus, queries))
-    counts = gram_counts(c, "entity_id", "t", config.tfidf_ngram).join(c.select(F.col("entity_id").alias("id"), "country"), "id")
+    plain = lambda x: F.lower(F.trim(F.coalesce(x, F.lit(""))))
+
+    def by_id(x: DataFrame) -> DataFrame:
+        rows = x.select("entity_id", country.alias("country"), full.alias("t"))
+        return staged(rows.groupBy("country", "entity_id").agg(plain(F.array_join(F.array_sort(F.collect_list("t")), " ")).alias("t")))
+
+    c, q = by_id(corpus), by_id(queries)
+    n, k = config.tfidf_ngram, config.top_k_tfidf
+    texts_ = c.groupBy("country", "t").agg(F.count(F.lit(1)).alias("times"))
     size = c.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
-    table = counts.groupBy("country", "gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).join(size, "country").filter(F.col("df") >= F.least(F.lit(2), F.col("n")))
+    counts = gram_counts(texts_.select(F.struct("country", "t", "times").alias("id"), "t"), "id", "t", n).select("id.country", "id.times", "gram", "tf")
+    table = counts.groupBy("country", "gram").agg(F.sum("times").alias("df"), F.sum(F.col("tf") * F.col("times")).alias("total")).join(size, "country").filter(F.col("df") >= F.least(F.lit(2), F.col("n")))
     w = Window.partitionBy("country").orderBy(F.desc("total"), "gram")
     table = table.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= config.tfidf_max_features)
-    model = table.select("country", "gram", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))
-
-    def vectors(x: DataFrame, counted: DataFrame) -> DataFrame:
-        raw = counted.join(model, ["country", "gram"]).select("country", "id", "gram", (F.col("tf") * F.col("idf")).alias("w"))
-        norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return raw.join(norm, "id").select("country", "id", "gram", (F.col("w") / F.col("norm")).alias("weight"))
-
-    q_counts = gram_counts(q, "entity_id", "t", config.tfidf_ngram).join(q.select(F.col("entity_id").alias("id"), "country"), "id")
-    left, right = vectors(q, q_counts), vectors(c, counts)
-    if config.knn_engine == "dense":
-        left, right = dense(left, config.dense_dim), dense(right, config.dense_dim)
-    return similar(left, right, config.top_k_tfidf, config.min_tfidf_sim)
-
-
-def dense(vectors: DataFrame, dim: int, seed: int = 42) -> DataFrame:
-    """Vectors projected to ``dim`` dimensions by random signs of their grams, of length 1; rows as (id, gram = dimension, weight).
+    model = staged(table.select("country", F.col("gram").alias("t"), (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"), F.xxhash64("gram").alias("h")))
+    # Blocks by hash in each country: as many as its query texts fill.
+    asked = q.select("country", "t").distinct()
+    blocks = asked.groupBy("country").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("blocks"))
+    asked = asked.join(blocks, "country").select("country", F.pmod(F.xxhash64("t"), "blocks").cast("int").alias("block"), "t")
+    first = Window.partitionBy("country", "t").orderBy("entity_id")
+    held = c.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k).groupBy("country", "t").agg(F.array_sort(F.collect_list("entity_id")).alias("ids"))
+    every = lambda x: x.join(blocks, "country").withColumn("block", F.explode_outer(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).drop("blocks")
+    kinds = [every(model).withColumn("kind", F.lit(0)), asked.withColumn("kind", F.lit(1)), every(held).withColumn("kind", F.lit(2))]
+    rows = kinds[0].unionByName(kinds[1], allowMissingColumns=True).unionByName(kinds[2], allowMissingColumns=True)
+    number = F.dense_rank().over(Window.orderBy("country", "block"))
+    spread = asked.select("country", "block").distinct().withColumn("place", number - 1)
+    most = max(1, spread.count())
+    rows = rows.join(F.broadcast(spread), ["country", "block"]).select("place", "kind", "country", "t", "idf", "h", "ids").repartitionById(most, F.col("place")).sortWithinPartitions("place", "kind", "t")
+    dim = config.dense_dim if config.knn_engine == "dense" else None
+    found = rows.mapInArrow(_nearest(k, config.min_tfidf_sim, n, dim, digits), "country string, t string, candidate_entity_id string, similarity double, rank int")
+    return q.withColumnRenamed("entity_id", "source1_entity_id").join(found, ["country", "t"]).select("source1_entity_id", "candidate_entity_id", "similarity", "rank")
+
+
+def signs(h: np.ndarray, dim: int, seed: int = 42) -> np.ndarray:
+    """A row for each hash of a gram: it adds to 8 of ``dim`` dimensions, by random signs.
 
     Inner products are kept up to an error of about 1 / sqrt(dim) without gathering a matrix anywhere.
     """
+    out = np.zeros((len(h), dim))
+    h = h.astype(np.int64).view(np.uint64)
+    for k in range(8):
+        x = (h ^ np.uint64(seed * 8 + k)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        sign = 1.0 - 2.0 * ((x >> np.uint64(40)) & np.uint64(1)).astype(np.float64)
+        np.add.at(out, (np.arange(len(h)), (x % np.uint64(dim)).astype(int)), sign / 8**0.5)
+    return out
+
+
+class _Vectors:
+    """Vectors of texts, of length 1, as (text, gram, weight) in order of the texts; those without a known gram are empty."""
+
+    def __init__(self, texts_: list[str], place: dict[str, int], idf_: np.ndarray, n: int) -> None:
+        sizes, at, tf = [], [], []
+        for t in texts_:
+            count = grams(t, place, n)
+            sizes.append(len(count))
+            at += count
+            tf += count.values()
+        self.row = np.repeat(np.arange(len(texts_)), sizes)
+        self.gram = np.array(at, dtype=np.int64)
+        w = np.array(tf, dtype=np.float64) * idf_[self.gram]
+        norm = np.sqrt(np.bincount(self.row, weights=w * w, minlength=len(texts_)))
+        self.weight = w / norm[self.row]
+        self.size, self.n = np.array(sizes, dtype=np.int64), len(texts_)
+
+    def dense(self, projection: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, projection.shape[1]))
+        for a in range(0, len(self.row), 65_536):
+            np.add.at(out, self.row[a : a + 65_536], self.weight[a : a + 65_536, None] * projection[self.gram[a : a + 65_536]])
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(norm > 0, norm, 1.0)
+
+
+def _similarities(q: _Vectors, c: _Vectors, vocabulary: int, projection: np.ndarray | None):
+    """(first query, similarities): a row a query, a column a corpus text, some queries at a time."""
+    if projection is not None:
+        a, b = q.dense(projection), c.dense(projection).T
+        for i in range(0, q.n, 256):
+            yield i, a[i : i + 256] @ b
+        return
+    order = np.argsort(c.gram, kind="stable")
+    row, weight = c.row[order], c.weight[order]
+    end = np.cumsum(np.bincount(c.gram, minlength=vocabulary))
+    start = np.concatenate([[0], end[:-1]])
+    last = np.cumsum(q.size)
+    for i in range(q.n):
+        own = slice(last[i] - q.size[i], last[i])
+        spans = [slice(start[g], end[g]) for g in q.gram[own]]
+        if spans:
+            products = np.concatenate([weight[s] * w for s, w in zip(spans, q.weight[own])])
+            yield i, np.bincount(np.concatenate([row[s] for s in spans]), weights=products, minlength=c.n)[None, :]
+
+
+def _nearest(k: int, least: float, n: int, dim: int | None, digits: int | None):
+    def blocks(batches):
+        """(model, query texts, batches of corpus texts) of each place, the corpus read as it comes."""
+        for b in batches:
+            at = (b.column("place").to_numpy().astype(np.int64) * 3 + b.column("kind").to_numpy())
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)] if len(at) else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                yield int(at[lo]) // 3, int(at[lo]) % 3, b.slice(lo, hi - lo)
+
+    def answer(country: str, asked: list[str], best: list) -> pa.RecordBatch:
+        rows = [(t, c, s, r) for t, own in zip(asked, best) for r, (s, c) in enumerate(((-s, c) for s, c in own), 1)]
+        cols = list(zip(*rows)) or [()] * 4
+        kinds = [pa.string(), pa.string(), pa.float64(), pa.int32()]
+        return pa.record_batch([pa.array([country] * len(rows), pa.string()), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["country", "t", "candidate_entity_id", "similarity", "rank"])
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            d = b.to_pydict()
-            ids, at = np.unique(np.array(d["id"], dtype=object), return_inverse=True)
-            out = np.zeros((len(ids), dim))
-            h = np.array(d["h"], dtype=np.int64).view(np.uint64)
-            # A gram adds to 8 dimensions: signs and places from its hash.
-            for k in range(8):
-                x = (h ^ np.uint64(seed * 8 + k)) * np.uint64(0x9E3779B97F4A7C15)
-                x ^= x >> np.uint64(29)
-                x *= np.uint64(0xBF58476D1CE4E5B9)
-                x ^= x >> np.uint64(32)
-                sign = 1.0 - 2.0 * ((x >> np.uint64(40)) & np.uint64(1)).astype(np.float64)
-                np.add.at(out, (at, (x % np.uint64(dim)).astype(int)), sign * np.array(d["weight"]) / 8**0.5)
-            r, c = np.nonzero(out)
-            country = dict(zip(d["id"], d["country"]))
-            yield pa.record_batch([pa.array([country[ids[i]] for i in r], pa.string()), pa.array([ids[i] for i in r], pa.string()), pa.array([f"d{j}" for j in c], pa.string()), pa.array(out[r, c])], names=["country", "id", "gram", "weight"])
-
-    rows = vectors.select("country", "id", F.xxhash64("gram").alias("h"), "weight").repartition("id").mapInArrow(run, "country string, id string, gram string, weight double")
-    total = rows.groupBy("country", "id", "gram").agg(F.sum("weight").alias("w"))
-    norm = total.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).filter("norm > 0")
-    return total.join(norm, "id").select("country", "id", "gram", (F.col("w") / F.col("norm")).alias("weight"))
+        place = None
+        for at, kind, b in blocks(batches):
+            if at != place:
+                if place is not None:
+                    yield answer(country, asked, best)
+                place, country, asked, best, model, q = at, b.column("country")[0].as_py(), [], [], [], None
+            if kind == 0:
+                model.append(b)
+            elif kind == 1:
+                asked += b.column("t").to_pylist()
+            else:
+                if q is None:
+                    m = pa.Table.from_batches(model) if model else b.slice(0, 0)
+                    names = {g: i for i, g in enumerate(m["t" if model else "ids"].to_pylist())}
+                    idf_ = np.asarray(m["idf"], dtype=np.float64)
+                    projection = signs(np.asarray(m["h"]), dim) if dim and names else None
+                    q, best = _Vectors(asked, names, idf_, n), [[] for _ in asked]
+                ids = b.column("ids").to_pylist()
+                c = _Vectors(b.column("t").to_pylist(), names, idf_, n)
+                if not names:
+                    continue
+                for i, sims in _similarities(q, c, len(names), projection):
+                    shown = sims if digits is None else np.round(sims, digits)
+                    for j, (sim, own) in enumerate(zip(sims, shown), i):
+                        # Ids of a text are equally near, so the k nearest texts (by their first ids) hold the k nearest ids.
+                        bar = -best[j][-1][0] if len(best[j]) == k else -np.inf
+                        hit = np.flatnonzero((sim >= least) & (own >= bar))
+                        if len(hit) > k:
+                            edge = np.partition(own[hit], len(hit) - k)[len(hit) - k]
+                            hit = hit[own[hit] >= edge]
+                        if len(hit):
+                            near = sorted((-float(own[x]), ids[x][0], x) for x in hit)[:k]
+                            best[j] = sorted(best[j] + [(s, y) for s, _, x in near for y in ids[x]])[:k]
+        if place is not None:
+            yield answer(country, asked, best)
+
+    return run

@@ -26,6 +26,13 @@ def keyed(spark):
     return side("S1", 60), side("S2", 90)
 
 
+class _All(dict):
+    """Each gram in its own place."""
+
+    def get(self, key, default=None):
+        return key
+
+
 def lookups(spark):
     r = random.Random(8)
     return [spark.createDataFrame([(f"{p}-{i % (n - 9)}", f"{p}{i}", r.choice("abcdef") if i % 7 else None) for i in range(n)], "entity_id string, name string, truth string") for p, n in (("S1", 60), ("S2", 90))]
@@ -67,3 +74,39 @@ def test_nothing_to_ask(spark, keyed):
     near = q.select("entity_id", F.col("country").alias("at"))
     assert candidates.top(candidates.rows(q.limit(0), near, c, blocking.KEY), 5, False, []).count() == 0
     assert candidates.top(candidates.rows(q, near.distinct(), c.limit(0), blocking.KEY), 5, False, []).count() == 0
+
+
+@pytest.mark.parametrize("engine", ["exact", "dense"])
+def test_nearest_names_equal_all_pairs(spark, engine, monkeypatch):
+    import numpy as np
+
+    from lodestone.operators import tfidf
+
+    monkeypatch.setattr(tfidf, "QUERY_BLOCK", 7)
+    r = random.Random(9)
+    names = lambda p, n: [(f"{p}-{i}", r.choice(["US", "FR"]), " ".join(r.choices(["apex", "zen", "tools", "foods", "of"], k=r.randrange(4)))) for i in range(n)]
+    q, c = names("S1", 40), names("S2", 70)
+    made = [spark.createDataFrame(x, "entity_id string, country string, norm_name string") for x in (q, c)]
+    got = tfidf.nearest(*made, "norm_name", blocking.BlockingConfig(knn_engine=engine, top_k_tfidf=4, min_tfidf_sim=0.3), digits=6)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("gram") == 0  # no row is made for a gram of a pair
+    model: dict = {}
+    for country in ("US", "FR"):
+        own = [tfidf.grams(t, _All(), 3) for _, x, t in c if x == country]
+        df: dict = {}
+        for g in own:
+            for k in g:
+                df[k] = df.get(k, 0) + 1
+        model[country] = {g: np.log((1 + len(own)) / (1 + n)) + 1 for g, n in df.items() if n >= min(2, len(own))}
+    order = sorted({g for m in model.values() for g in m})
+    h = {r[0]: r[1] for r in spark.createDataFrame([(g,) for g in order], "g string").select("g", F.xxhash64("g")).collect()}
+    basis = tfidf.signs(np.array([h[g] for g in order]), 128) if engine == "dense" else np.eye(len(order))
+
+    def vector(country, t):
+        v = sum((n * model[country][g] * basis[order.index(g)] for g, n in tfidf.grams(t, _All(), 3).items() if g in model[country]), np.zeros(basis.shape[1]))
+        return v / (np.linalg.norm(v) or 1.0)
+
+    want = set()
+    for i, x, t in q:
+        sims = sorted((-round(float(vector(x, t) @ vector(y, u)), 6), j) for j, y, u in c if x == y)
+        want |= {(i, j, -s, k) for k, (s, j) in enumerate(sims[:4], 1) if -s >= 0.3}
+    assert {(a, b, round(s, 6), k) for a, b, s, k in got.collect()} == want
