@@ -78,32 +78,68 @@ def noise(df: DataFrame, name: str, address: str, by: list[str]) -> DataFrame:
     )
 
 
-def change_notes(pairs: DataFrame, s1_name: str, t_name: str, s1_addr: str, t_addr: str) -> DataFrame:
-    """``pairs`` with ``notes`` on how the target differs from the source."""
-    a, b, x, y = (F.trim(F.coalesce(F.col(c), F.lit(""))) for c in (s1_name, t_name, s1_addr, t_addr))
-    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")))
-    parts = lambda c: F.filter(F.transform(F.split(F.lower(c), ","), lambda w: F.trim(w)), lambda w: w != "")
-    numbered = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w.rlike("[0-9]"))))
-    same_set = lambda p, q: F.array_sort(F.array_distinct(p)) == F.array_sort(F.array_distinct(q))
+def note_parts(df: DataFrame, name: str, address: str, prefix: str) -> DataFrame:
+    """``df`` with what ``notes`` compares of a record, as columns that start with ``prefix``."""
+    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != "")))
+    n, a = (F.trim(F.coalesce(F.col(c), F.lit(""))) for c in (name, address))
+    out = df.withColumns({f"{prefix}n": n, f"{prefix}a": a})
+    out = out.withColumns({f"{prefix}ln": F.lower(f"{prefix}n"), f"{prefix}la": F.lower(f"{prefix}a")})
+    n, ln, a, la = (F.col(f"{prefix}{c}") for c in ("n", "ln", "a", "la"))
+    parts = F.filter(F.transform(F.split(la, ","), lambda w: F.trim(w)), lambda w: w != "")
+    return out.withColumns({
+        f"{prefix}words": words(ln), f"{prefix}foreign": n.rlike(NON_ASCII), f"{prefix}web": ln.contains("www.") | ln.contains(".com"), f"{prefix}gone": la.isin("", "nan", "none", "null"),
+        f"{prefix}near": la.contains("near") | la.contains("opp"), f"{prefix}numbered": F.filter(words(a), lambda w: w.rlike("[0-9]")), f"{prefix}parts": parts, f"{prefix}set": F.array_sort(F.array_distinct(parts)),
+    })
+
+
+def notes(s1: str, t: str) -> Column:
+    """How the target (columns of ``note_parts`` with prefix ``t``) differs from the source."""
+    l, r = (lambda c: F.col(f"{s1}{c}")), (lambda c: F.col(f"{t}{c}"))
     inside = lambda p, q: F.size(F.array_except(p, q)) == 0
-    near = lambda c: F.lower(c).contains("near") | F.lower(c).contains("opp")
-    other, gone = F.lower(a) != F.lower(b), F.lower(y).isin("", "nan", "none", "null")
-    moved = ~gone & (F.lower(x) != F.lower(y))
-    wa, wb = words(a), words(b)
-    notes = [
-        (~other & (a != b), "Case variation only"),
-        (a == b, "Exact name match"),
-        (other & b.rlike(r"[^\x00-\x7F]"), "Non-Latin/Indic script or accent in name"),
-        (other & (F.lower(b).contains("www.") | F.lower(b).contains(".com")), "URL / Domain appended to name"),
-        (other & (wa == wb), "Name word transposition/reordering"),
-        (other & (wa != wb) & (inside(wa, wb) | inside(wb, wa)), "Legal suffix/prefix addition or omission"),
-        (other & ~inside(wa, wb) & ~inside(wb, wa), "Lexical variation / typo / alias"),
+    other, gone = l("ln") != r("ln"), r("gone")
+    moved = ~gone & (l("la") != r("la"))
+    some = inside(l("words"), r("words")) | inside(r("words"), l("words"))
+    found = [
+        (~other & (l("n") != r("n")), "Case variation only"),
+        (l("n") == r("n"), "Exact name match"),
+        (other & r("foreign"), "Non-Latin/Indic script or accent in name"),
+        (other & r("web"), "URL / Domain appended to name"),
+        (other & (l("words") == r("words")), "Name word transposition/reordering"),
+        (other & (l("words") != r("words")) & some, "Legal suffix/prefix addition or omission"),
+        (other & ~some, "Lexical variation / typo / alias"),
         (gone, "Target address MISSING (Null)"),
-        (~gone & (F.lower(x) == F.lower(y)) & (x != y), "Address case variation"),
-        (~gone & (x == y), "Exact address match"),
-        (moved & (near(x) | near(y)), "Landmark addition/omission"),
-        (moved & (numbered(x) != numbered(y)), "Street/Door number variation (range or unit)"),
-        (moved & same_set(parts(x), parts(y)) & (parts(x) != parts(y)), "Address component inversion/reordering"),
+        (~gone & (l("la") == r("la")) & (l("a") != r("a")), "Address case variation"),
+        (~gone & (l("a") == r("a")), "Exact address match"),
+        (moved & (l("near") | r("near")), "Landmark addition/omission"),
+        (moved & (l("numbered") != r("numbered")), "Street/Door number variation (range or unit)"),
+        (moved & (l("set") == r("set")) & (l("parts") != r("parts")), "Address component inversion/reordering"),
     ]
-    text = F.array_join(F.filter(F.array(*(F.when(c, F.lit(n)) for c, n in notes)), lambda n: n.isNotNull()), "; ")
-    return pairs.withColumn("notes", F.when(text == "", "Minor lexical variation").otherwise(text))
+    text = F.concat_ws("; ", *(F.when(c, F.lit(n)) for c, n in found))
+    return F.when(text == "", "Minor lexical variation").otherwise(text)
+
+
+def change_notes(pairs: DataFrame, s1_name: str, t_name: str, s1_addr: str, t_addr: str) -> DataFrame:
+    """``pairs`` with ``notes`` on how the target differs from the source."""
+    both = note_parts(note_parts(pairs, s1_name, s1_addr, "_s_"), t_name, t_addr, "_t_")
+    return both.select(*pairs.columns, notes("_s_", "_t_").alias("notes"))
+
+
+def class_notes(sources: DataFrame, targets: DataFrame, name: str, address: str, by: str) -> DataFrame:
+    """Notes on all pairs of equal ``by`` without listing copies: (kind, source1_entity_id, candidate_entity_id, representative, notes).
+
+    Records of a side with the same ``by``, name and address are a class, its smallest id their representative.  A row of
+    kind ``pair`` has the representatives of two classes and notes; a ``member`` row has a record's id, on its side, and its
+    representative.  The pairs of all records are the pair rows with either id replaced by each of its members.
+    """
+    pair = ["source1_entity_id", "candidate_entity_id"]
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    members, sides = [], []
+    for df, id_, p in ((sources, pair[0], "_s_"), (targets, pair[1], "_t_")):
+        own = df.select(F.col("entity_id"), F.col(by).alias("by"), text(name), text(address))
+        classes = own.groupBy("by", name, address).agg(F.min("entity_id").alias(id_))
+        sides.append(note_parts(classes, name, address, p).drop(name, address))
+        rows = own.distinct().join(classes.withColumnRenamed(id_, "representative"), ["by", name, address])
+        both = [(F.col("entity_id") if c == id_ else F.lit(None).cast("string")).alias(c) for c in pair]
+        members.append(rows.select(F.lit("member").alias("kind"), *both, "representative", F.lit(None).cast("string").alias("notes")))
+    found = sides[0].join(sides[1], "by").select(F.lit("pair").alias("kind"), *pair, F.lit(None).cast("string").alias("representative"), notes("_s_", "_t_").alias("notes"))
+    return found.unionByName(members[0]).unionByName(members[1])

@@ -57,3 +57,23 @@ def test_change_notes(spark):
         "Non-Latin/Indic script or accent in name; URL / Domain appended to name; Lexical variation / typo / alias; Target address MISSING (Null)",
         "Legal suffix/prefix addition or omission; Landmark addition/omission; Street/Door number variation (range or unit)",
     ]
+
+
+def test_class_notes_stand_for_all_pairs(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(f"S{1 + i % 3}-{i}", r.choice("xy"), r.choice(["Apex Tools", "apex tools", "Apex LLC", None]), r.choice(["1 Main, Rome", "Rome, 1 Main", "nan", "1 MAIN, Rome, near B"])) for i in range(150)]
+    e = spark.createDataFrame(rows, "entity_id string, truth string, name string, address string")
+    q, c = e.filter("entity_id like 'S1-%'"), e.filter("entity_id not like 'S1-%'")
+    got = profile.class_notes(q, c, "name", "address", "truth").collect()
+    of: dict = {}
+    for x in got:
+        if x.kind == "member":
+            of.setdefault(x.representative, []).append(x.source1_entity_id or x.candidate_entity_id)
+    pairs = [x for x in got if x.kind == "pair"]
+    side = lambda x, p: x.select("truth", *(F.col(k).alias(f"{p}{k}") for k in ("entity_id", "name", "address")))
+    every = profile.change_notes(side(q, "l_").join(side(c, "r_"), "truth"), "l_name", "r_name", "l_address", "r_address")
+    want = sorted((x.l_entity_id, x.r_entity_id, x.notes) for x in every.collect())
+    assert sorted((a, b, x.notes) for x in pairs for a in of[x.source1_entity_id] for b in of[x.candidate_entity_id]) == want
+    assert len(pairs) <= 2 * 16 * 16 < len(want)  # two truths, sixteen records at most a side
