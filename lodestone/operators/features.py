@@ -65,22 +65,32 @@ class FeatureExtractor:
         """``PAIR``, ``FEATURES`` and, with ``truth``, ``label``; ``left`` and ``right`` are lookups."""
         if self.idf is None:
             raise RuntimeError("fit() comes before matrix()")
+        cosine = tfidf.cosine(self.idf, self.ngram, self.max_features)
         pairs = pairs.select(*PAIR)
         own = lambda x, ids: x.join(ids.distinct(), "entity_id", "left_semi")
         left = own(left, pairs.select(F.col(PAIR[0]).alias("entity_id")))
         right = own(right, pairs.select(F.col(PAIR[1]).alias("entity_id")))
-        vectors = [tfidf.weights(tfidf.gram_counts(x, "entity_id", "name", self.ngram), self.idf) for x in (left, right)]
-        full = with_sides(tfidf.pair_cosine(pairs, *vectors, out="feat_name_tfidf_cosine"), numbers(left), numbers(right))
+        left, right = self.sides(left), self.sides(right)
+        out = self.of_sides(with_sides(pairs, left, right), cosine)
+        return out if truth is None else label(out, truth)
+
+    def sides(self, entities: DataFrame) -> DataFrame:
+        """A lookup with all that ``of_sides`` reads."""
+        return numbers(entities).join(tfidf.texts(entities, "entity_id", "name"), "entity_id")
+
+    def of_sides(self, full: DataFrame, cosine=None) -> DataFrame:
+        """``PAIR``, ``FEATURES`` and other columns of rows that hold both ``sides`` (l_, r_)."""
+        cosine = cosine or tfidf.cosine(self.idf, self.ngram, self.max_features)
         a, b = (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"r_{c}"))
         parts = {
             **similarity.string_features(a("name"), b("name"), "name"),
             **similarity.string_features(a("address"), b("address"), "addr"),
-            "feat_name_tfidf_cosine": F.col("feat_name_tfidf_cosine").cast("float"),
+            "feat_name_tfidf_cosine": cosine(F.col("l_text"), F.col("r_text")).cast("float"),
             "feat_country_match": similarity.equal(a("country"), b("country")),
             **{c: F.expr(x) for c, x in addresses.number_features("l_", "r_").items()},
         }
-        out = full.select(*PAIR, *(parts[c].alias(c) for c in FEATURES))
-        return out if truth is None else label(out, truth)
+        rest = [c for c in full.columns if c not in PAIR and not c.startswith(("l_", "r_"))]
+        return full.select(*PAIR, *(parts[c].alias(c) for c in FEATURES), *rest)
 
 
 def summary(matrix: DataFrame) -> DataFrame:

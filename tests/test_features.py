@@ -77,3 +77,9 @@ def test_class_notes_stand_for_all_pairs(spark):
     want = sorted((x.l_entity_id, x.r_entity_id, x.notes) for x in every.collect())
     assert sorted((a, b, x.notes) for x in pairs for a in of[x.source1_entity_id] for b in of[x.candidate_entity_id]) == want
     assert len(pairs) <= 2 * 16 * 16 < len(want)  # two truths, sixteen records at most a side
+
+
+def test_matrix_makes_no_row_for_a_gram_of_a_pair(spark):
+    look = spark.createDataFrame([("S1-1", "apex tools", "1 main", "US"), ("S2-1", "apex tool", "1 main", "US")], LOOK)
+    m = features.FeatureExtractor().fit(look, "name").matrix(spark.createDataFrame([("S1-1", "S2-1")], PAIRS), look, look)
+    assert "gram" not in m._jdf.queryExecution().optimizedPlan().toString()
