@@ -50,6 +50,12 @@ KEY = ["country", "strategy", "key"]
 TFIDF_WEIGHT = 3
 
 
+def inputs(config: BlockingConfig) -> list[str]:
+    """The columns of normalised entities that blocking reads."""
+    address = ["business_address", "addr_street_number", "addr_street_name", "addr_city", "addr_state", "addr_postal_code"]
+    return ["entity_id", "country", "norm_name_no_legal", *(["norm_name"] if config.enable_tfidf else []), *(address if config.enable_address else [])]
+
+
 def key_rows(df: DataFrame, config: BlockingConfig) -> DataFrame:
     """(country, strategy, key, weight, entity_id), a row per key of each normalised entity."""
     kinds = []
