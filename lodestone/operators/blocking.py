@@ -59,6 +59,7 @@ def inputs(config: BlockingConfig) -> list[str]:
 def key_rows(df: DataFrame, config: BlockingConfig) -> DataFrame:
     """(country, strategy, key, weight, entity_id), a row per key of each normalised entity."""
     kinds = []
+    df = keys.prepared(df.select(*inputs(config)), "norm_name_no_legal", config.enable_address)
     if config.enable_token_overlap:
         df, kinds = keys.token_key_column(df, "norm_name_no_legal", "_token", config.min_token_len), [*kinds, "token"]
     if config.enable_phonetic:

@@ -40,3 +40,9 @@ def test_inputs_suffice(spark):
     for config in (blocking.BlockingConfig(), blocking.BlockingConfig.production(), blocks.TOKENS, blocks.BOTH):
         rows = spark.createDataFrame([], ", ".join(f"{c} string" for c in blocking.inputs(config)))
         assert blocking.key_rows(rows, config).columns == [*blocking.KEY, "weight", "entity_id"]
+
+
+def test_one_python_step_below_all_keys(spark):
+    rows = spark.createDataFrame([], ", ".join(f"{c} string" for c in blocking.inputs(blocks.BOTH)))
+    plan = blocking.key_rows(rows, blocks.BOTH)._jdf.queryExecution().analyzed().toString().splitlines()
+    assert len([x for x in plan if "_transliterate_udf(" in x]) == 1
