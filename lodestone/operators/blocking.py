@@ -48,6 +48,8 @@ WEIGHTS = {"token": keys.TOKEN_WEIGHTS, "phonetic": keys.PHONETIC_WEIGHTS, "addr
 KEY = ["country", "strategy", "key"]
 #: What a near neighbour by TF-IDF adds to a pair's score.
 TFIDF_WEIGHT = 3
+#: The most large keys that are broadcast.
+SENT_KEYS = 20_000
 
 
 def inputs(config: BlockingConfig) -> list[str]:
@@ -81,8 +83,9 @@ def key_rows(df: DataFrame, config: BlockingConfig) -> DataFrame:
 
 def without_large_blocks(index: DataFrame, most: int) -> DataFrame:
     """Rows of keys that at most ``most`` index rows have; the large keys alone are counted out and joined back."""
-    large = index.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(*KEY)
-    return index.join(large, KEY, "left_anti")
+    large = staged(index.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(*KEY))
+    # Few keys are sent to the rows, so that only those that stay are dealt out.
+    return index.join(F.broadcast(large) if large.limit(SENT_KEYS + 1).count() <= SENT_KEYS else large, KEY, "left_anti")
 
 
 def scored(query_keys: DataFrame, index: DataFrame) -> DataFrame:
@@ -138,15 +141,16 @@ class MultiStrategyBlocker:
             return top_candidates(self.scores(queries), most)
         return candidates.top(self._rows(queries), most, False, []).select("source1_entity_id", "candidate_entity_id", "score", "rank")
 
-    def sided_pairs(self, queries: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    def sided_pairs(self, queries: DataFrame, left: DataFrame, right: DataFrame, measure=None) -> DataFrame:
         """``block_pairs`` with the looked-up columns of both sides (l_, r_), a row for each pair of looked-up rows.
 
         ``left``, ``right``: entity_id and the same columns; of a column ``truth`` only ``label`` is shown, whether any rows of the pair agree on it.
+        With ``measure`` (see ``candidates.top``), its column instead of the looked-up ones.
         """
         if self.config.enable_tfidf:
             raise ValueError("sided_pairs() is for blocking by keys alone")
-        extra = [c for c in left.columns if c not in ("entity_id", "truth")]
-        return candidates.top(self._rows(queries, left, right), self.config.max_candidates_per_query, "truth" in left.columns, extra)
+        extra = [] if measure else [c for c in left.columns if c not in ("entity_id", "truth")]
+        return candidates.top(self._rows(queries, left, right), self.config.max_candidates_per_query, "truth" in left.columns, extra, measure)
 
     def block_queries(self, queries: DataFrame) -> DataFrame:
         """Every query with its ordered list of candidates, which may be empty."""

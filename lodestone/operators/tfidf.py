@@ -7,11 +7,12 @@ vectors have length 1.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
@@ -21,6 +22,8 @@ from lodestone.sources.staging import staged
 SPACE = re.compile(r"\s+", re.ASCII)
 #: Query texts that meet a country's corpus in one task.
 QUERY_BLOCK = 2048
+#: The largest vocabulary that is broadcast.
+SENT_GRAMS = 200_000
 
 
 def gram_counts(df: DataFrame, id_col: str, text_col: str, n: int = 3) -> DataFrame:
@@ -72,6 +75,68 @@ def grams(text_: str, place: dict[str, int], n: int) -> dict[int, int]:
     return count
 
 
+def distinct_grams(text_col: str, n: int = 3) -> Column:
+    """The grams of a lower-case text, each once, in the order in which they first come."""
+    words = F.filter(F.split(text_col, r"\s+"), lambda w: w != "")
+    own = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: w.substr(i, F.lit(n)))
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: own(F.concat(F.lit(" "), w, F.lit(" "))))))
+
+
+def block_cosine(texts_: DataFrame, n_docs: int, n: int = 3, most: int | None = None) -> tuple[DataFrame, Callable]:
+    """Lookups and the measure that ``candidates.top`` needs for cosines, 0 without a common gram; idf over all of ``texts_``.
+
+    ``texts_``: (entity_id, text), an id once, lower-case.  Up to ``most`` grams are broadcast with their numbers of texts;
+    of a larger vocabulary each text carries the numbers of its own grams.  Either way no row is made for a gram of a pair.
+    """
+    most = SENT_GRAMS if most is None else most
+    table = texts_.select(F.explode_outer(distinct_grams("text", n)).alias("gram")).filter("gram is not null").groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    rows = table.limit(most + 1).toArrow()
+    sent = None
+    if len(rows) <= most:
+        sent = texts_.sparkSession.sparkContext.broadcast((rows["gram"].to_pylist(), rows["df"].to_numpy()))
+    else:
+        each = texts_.select("entity_id", F.posexplode_outer(distinct_grams("text", n)).alias("at", "gram")).join(table, "gram")
+        own = each.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "df"))), lambda x: x["df"]).alias("dfs"))
+        texts_ = staged(texts_.join(own, "entity_id", "left"))
+    place: dict[str, int] = {}
+
+    def measure(left: pa.Table, right: pa.Table):
+        if sent is not None and not place:
+            place.update((g, i) for i, g in enumerate(sent.value[0]))
+        numbers = _Numbers() if sent is None else place
+        weight = lambda df: np.log((1.0 + n_docs) / (1.0 + df)) + 1
+
+        def vectors(side: pa.Table) -> tuple[np.ndarray, _Vectors]:
+            code = pa.chunked_array(side["text"].chunks, pa.string()).combine_chunks().dictionary_encode()
+            at = code.indices.to_numpy()
+            if sent is not None:
+                return at, _Vectors(code.dictionary.to_pylist(), numbers, weight(sent.value[1]), n)
+            first = np.unique(at, return_index=True)[1]
+            dfs = side["dfs"].combine_chunks().take(pa.array(first)).flatten().to_numpy()
+            return at, _Vectors(code.dictionary.to_pylist(), numbers, weight(dfs), n, own=True)
+
+        (l_at, l), (r_at, r) = vectors(left), vectors(right)
+        row = np.zeros(len(numbers))
+        l_start, r_start = (np.cumsum(x.size) - x.size for x in (l, r))
+
+        def values(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            a, b, out = l_at[a], r_at[b], np.zeros(len(a))
+            cuts = [0, *(np.flatnonzero(np.diff(a)) + 1).tolist(), len(a)] if len(a) else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                own = slice(l_start[a[lo]], l_start[a[lo]] + l.size[a[lo]])
+                row[l.gram[own]] = l.weight[own]
+                some, back = np.unique(b[lo:hi], return_inverse=True)
+                size = r.size[some]
+                at = np.arange(size.sum()) + np.repeat(r_start[some] - np.cumsum(size) + size, size)
+                out[lo:hi] = np.bincount(np.repeat(np.arange(len(some)), size), weights=row[r.gram[at]] * r.weight[at], minlength=len(some))[back]
+                row[l.gram[own]] = 0.0
+            return np.clip(out, 0.0, 1.0)
+
+        return values
+
+    return texts_, measure
+
+
 def cosine(idf_table: DataFrame, n: int = 3, most: int = 200_000):
     """A function of two text columns: the cosine of their vectors, 0 without a common gram; None where ``idf_table`` has over ``most`` rows.
 
@@ -203,10 +268,20 @@ def signs(h: np.ndarray, dim: int, seed: int = 42) -> np.ndarray:
     return out
 
 
+class _Numbers(dict):
+    """Numbers grams as they are asked for."""
+
+    def get(self, key: str, default: int | None = None) -> int:
+        return self.setdefault(key, len(self))
+
+
 class _Vectors:
-    """Vectors of texts, of length 1, as (text, gram, weight) in order of the texts; those without a known gram are empty."""
+    """Vectors of texts, of length 1, as (text, gram, weight) in order of the texts; those without a known gram are empty.
+
+    ``idf_``: by gram, or (``own``) of each text's grams as they first come.
+    """
 
-    def __init__(self, texts_: list[str], place: dict[str, int], idf_: np.ndarray, n: int) -> None:
+    def __init__(self, texts_: list[str], place: dict[str, int], idf_: np.ndarray, n: int, own: bool = False) -> None:
         sizes, at, tf = [], [], []
         for t in texts_:
             count = grams(t, place, n)
@@ -215,7 +290,7 @@ class _Vectors:
             tf += count.values()
         self.row = np.repeat(np.arange(len(texts_)), sizes)
         self.gram = np.array(at, dtype=np.int64)
-        w = np.array(tf, dtype=np.float64) * idf_[self.gram]
+        w = np.array(tf, dtype=np.float64) * (idf_ if own else idf_[self.gram])
         norm = np.sqrt(np.bincount(self.row, weights=w * w, minlength=len(texts_)))
         self.weight = w / norm[self.row]
         self.size, self.n = np.array(sizes, dtype=np.int64), len(texts_)

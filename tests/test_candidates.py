@@ -110,3 +110,37 @@ def test_nearest_names_equal_all_pairs(spark, engine, monkeypatch):
         sims = sorted((-round(float(vector(x, t) @ vector(y, u)), 6), j) for j, y, u in c if x == y)
         want |= {(i, j, -s, k) for k, (s, j) in enumerate(sims[:4], 1) if -s >= 0.3}
     assert {(a, b, round(s, 6), k) for a, b, s, k in got.collect()} == want
+
+
+def test_equal_candidates_are_dealt_out_once(spark):
+    who, keys = [f"S2-{i:02}" for i in range(40)], [f"K:{k}" for k in range(6)]
+    index = spark.createDataFrame([("US", "token", k, 2, w) for w in who for k in keys] + [("US", "token", "K:unasked", 2, who[0])], KEYS)
+    asked = spark.createDataFrame([("US", "token", k, 2, w) for w in ("S1-1", "S1-2") for k in keys], KEYS)
+    left, right = (spark.createDataFrame([(w, "apex", "t") for w in ids], "entity_id string, name string, truth string") for ids in (["S1-1", "S1-2"], who))
+    spec = candidates.rows(asked, asked.select("entity_id", "country").distinct(), index, blocking.KEY, left, right, 1000)
+    assert spec.count() == 1 + 2 + 12  # the class, the queries' rows and their keys
+    got = candidates.top(spec, 30, True, ["name"]).collect()
+    assert sorted(tuple(r) for r in got) == [(q, w, 12, n, 1, "apex", "apex") for q in ("S1-1", "S1-2") for n, w in enumerate(who[:30], 1)]
+
+
+@pytest.mark.parametrize("most", [3, 200_000])
+def test_cosines_in_blocks_equal_the_join(spark, most):
+    from lodestone.operators import tfidf
+
+    r = random.Random(10)
+    words = ["apex", "zen", "tools", "a", "foods", "Öl", "店舗", "tool"]
+    # An id may have several names, all of which count.
+    rows = [(f"S{1 + i % 3}-{i % 50}", 1 + i % 3, "US", " ".join(r.choices(words, k=r.randrange(5)))) for i in range(60)]
+    e = spark.createDataFrame([(*x, x[3]) for x in rows], "entity_id string, src int, country string, norm_name string, norm_name_no_legal string")
+    q, c = e.filter("src = 1"), e.filter("src <> 1")
+    b = blocking.MultiStrategyBlocker(blocking.BlockingConfig(enable_tfidf=False, enable_phonetic=False, enable_address=False)).fit(c)
+    names = tfidf.texts(e, "entity_id", "norm_name").withColumn("text", F.lower(F.trim("text")))
+    names, cosine = tfidf.block_cosine(names, e.count(), most=most)
+    assert ("dfs" in names.columns) == (most == 3)
+    got = b.sided_pairs(q, names, names, ("cosine", cosine))
+    assert "gram" not in got._jdf.queryExecution().optimizedPlan().toString()
+    counts = tfidf.gram_counts(e, "entity_id", "norm_name")
+    w = tfidf.weights(counts, tfidf.idf(counts, e.count()))
+    want = {tuple(x[:2]): x[2] for x in tfidf.pair_cosine(b.block_pairs(q).select(*PAIR), w, w).collect()}
+    found = {tuple(x[:2]): x[2] for x in got.select(*PAIR, "cosine").collect()}
+    assert len(found) == got.count() and found == pytest.approx(want) and len({round(x, 3) for x in found.values()}) > 5
