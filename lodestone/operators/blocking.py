@@ -141,15 +141,15 @@ class MultiStrategyBlocker:
             return top_candidates(self.scores(queries), most)
         return candidates.top(self._rows(queries), most, False, []).select("source1_entity_id", "candidate_entity_id", "score", "rank")
 
-    def sided_pairs(self, queries: DataFrame, left: DataFrame, right: DataFrame, measure=None) -> DataFrame:
+    def sided_pairs(self, queries: DataFrame, left: DataFrame, right: DataFrame, measure=None, shown: tuple[str, ...] = ()) -> DataFrame:
         """``block_pairs`` with the looked-up columns of both sides (l_, r_), a row for each pair of looked-up rows.
 
         ``left``, ``right``: entity_id and the same columns; of a column ``truth`` only ``label`` is shown, whether any rows of the pair agree on it.
-        With ``measure`` (see ``candidates.top``), its column instead of the looked-up ones.
+        With ``measure`` (see ``candidates.top``), its columns instead of the looked-up ones but those ``shown``.
         """
         if self.config.enable_tfidf:
             raise ValueError("sided_pairs() is for blocking by keys alone")
-        extra = [] if measure else [c for c in left.columns if c not in ("entity_id", "truth")]
+        extra = list(shown) if measure else [c for c in left.columns if c not in ("entity_id", "truth")]
         return candidates.top(self._rows(queries, left, right), self.config.max_candidates_per_query, "truth" in left.columns, extra, measure)
 
     def block_queries(self, queries: DataFrame) -> DataFrame:

@@ -183,11 +183,12 @@ def top(spec: DataFrame, most: int, judged: bool, extra: list[str], measure: tup
     """The ``most`` best candidates of each query of ``rows``: (source1_entity_id, candidate_entity_id, score, rank), ``label``
     if ``judged``, and ``extra`` columns of both sides as l_ and r_, a row for each pair of looked-up rows.
 
-    ``measure``: a column's name and what makes, of the looked-up tables of a block, a function of left and right row numbers
-    to its values: the looked-up columns then need not leave the task.
+    ``measure``: a column's name (or several columns as "name type, ...") and what makes, of the looked-up tables of a block, a
+    function of left and right row numbers to its values (or a list of them): the looked-up columns then need not leave the task.
     """
     fields = "source1_entity_id string, candidate_entity_id string, score long, rank int" + (", label byte" if judged else "")
-    fields += f", {measure[0]} double" if measure else ""
+    several = bool(measure) and " " in measure[0]
+    fields += f", {measure[0]}{'' if several else ' double'}" if measure else ""
     schema = T.StructType([*T._parse_datatype_string(fields).fields, *(T.StructField(f"{p}_{c}", spec.schema[c].dataType) for p in "lr" for c in extra)])
 
     def batch(b: _Block, held: list, measured: Callable | None) -> pa.RecordBatch:
@@ -197,7 +198,8 @@ def top(spec: DataFrame, most: int, judged: bool, extra: list[str], measure: tup
         e = b.expanded(query, candidate) if judged or extra or measure else None
         cols = [query, candidate, score, rank, *([b.true(query, candidate, e).astype(np.int8)] if judged else [])]
         if extra or measure:
-            cols = [c[e[0]] for c in cols] + ([measured(*e[1:])] if measure else [])
+            found = measured(*e[1:]) if measure else []
+            cols = [c[e[0]] for c in cols] + (found if several or not measure else [found])
         out = [b.queries.take(pa.array(cols[0])), b.candidates.take(pa.array(cols[1])), *map(pa.array, cols[2:])]
         out += [_one(side.table[c].take(pa.array(at))) for side, at in ((b.left, e and e[1]), (b.right, e and e[2])) for c in extra]
         return pa.record_batch(out, names=schema.names)

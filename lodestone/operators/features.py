@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions import addresses, similarity
+from lodestone.functions import addresses, pairwise, similarity
 from lodestone.functions.dialect import apply
 from lodestone.operators import tfidf
 
@@ -93,6 +94,30 @@ class FeatureExtractor:
         return full.select(*PAIR, *(parts[c].alias(c) for c in FEATURES), *rest)
 
 
+    def in_blocks(self, blocker, queries: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+        """``of_sides`` of a blocker's pairs, computed where the pairs are found; ``left`` and ``right``: ``sides``, and ``truth`` for ``label``."""
+        left, right = (x.withColumn("text", F.lower(F.trim("text"))) for x in (left, right))
+        full = blocker.sided_pairs(queries, left, right, self._measure(), ("num", "n", "unit"))
+        parts = {c: F.expr(x) for c, x in addresses.number_features("l_", "r_").items()}
+        rest = [c for c in full.columns if c not in (*PAIR, *FEATURES) and not c.startswith(("l_", "r_"))]
+        return full.select(*PAIR, *(parts.get(c, F.col(c)).alias(c) for c in FEATURES), *rest)
+
+    def _measure(self):
+        cosine = tfidf.known_cosine(self.idf, self.ngram)
+        kinds = {"levenshtein": "float", "jaro_winkler": "float", "token_sort": "float", "token_set": "float", "len_diff_ratio": "float", "exact_match": "tinyint"}
+        fields = [f"feat_{p}_{k} {t}" for p in ("name", "addr") for k, t in kinds.items()] + ["feat_name_tfidf_cosine float", "feat_country_match tinyint"]
+
+        def measure(left, right):
+            cosines = cosine(left, right)
+            texts = {c: (*tfidf.numbered(left[c]), *tfidf.numbered(right[c])) for c in ("name", "address", "country")}
+            of = [pairwise.similarities(l, at, r, r_at) for at, l, r_at, r in (texts["name"], texts["address"])]
+            at, l, r_at, r = texts["country"]
+            twin = np.array([l.index(x) if x in l else -1 for x in r], np.int64)
+            return lambda p, q: [*of[0](p, q), *of[1](p, q), cosines(p, q).astype(np.float32), (twin[r_at[q]] == at[p]).astype(np.int8)]
+
+        return ", ".join(fields), measure
+
+
 def summary(matrix: DataFrame) -> DataFrame:
     """Pairs, positives, negatives, share of positives in per cent and negatives per positive."""
     m = matrix.agg(F.count(F.lit(1)).alias("pairs"), F.coalesce(F.sum(F.col("label").cast("long")), F.lit(0)).alias("positives"))

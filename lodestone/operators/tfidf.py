@@ -116,25 +116,51 @@ def block_cosine(texts_: DataFrame, n_docs: int, n: int = 3, most: int | None =
             return at, _Vectors(code.dictionary.to_pylist(), numbers, weight(dfs), n, own=True)
 
         (l_at, l), (r_at, r) = vectors(left), vectors(right)
-        row = np.zeros(len(numbers))
-        l_start, r_start = (np.cumsum(x.size) - x.size for x in (l, r))
+        return _cosines(l_at, l, r_at, r, len(numbers))
 
-        def values(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            a, b, out = l_at[a], r_at[b], np.zeros(len(a))
-            cuts = [0, *(np.flatnonzero(np.diff(a)) + 1).tolist(), len(a)] if len(a) else []
-            for lo, hi in zip(cuts, cuts[1:]):
-                own = slice(l_start[a[lo]], l_start[a[lo]] + l.size[a[lo]])
-                row[l.gram[own]] = l.weight[own]
-                some, back = np.unique(b[lo:hi], return_inverse=True)
-                size = r.size[some]
-                at = np.arange(size.sum()) + np.repeat(r_start[some] - np.cumsum(size) + size, size)
-                out[lo:hi] = np.bincount(np.repeat(np.arange(len(some)), size), weights=row[r.gram[at]] * r.weight[at], minlength=len(some))[back]
-                row[l.gram[own]] = 0.0
-            return np.clip(out, 0.0, 1.0)
+    return texts_, measure
 
-        return values
 
-    return texts_, measure
+def _cosines(l_at: np.ndarray, l: _Vectors, r_at: np.ndarray, r: _Vectors, vocabulary: int):
+    """A function of row numbers of both sides to the cosines of their texts (numbered by ``l_at`` and ``r_at``)."""
+    row = np.zeros(vocabulary)
+    l_start, r_start = (np.cumsum(x.size) - x.size for x in (l, r))
+
+    def values(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b, out = l_at[a], r_at[b], np.zeros(len(a))
+        cuts = [0, *(np.flatnonzero(np.diff(a)) + 1).tolist(), len(a)] if len(a) else []
+        for lo, hi in zip(cuts, cuts[1:]):
+            own = slice(l_start[a[lo]], l_start[a[lo]] + l.size[a[lo]])
+            row[l.gram[own]] = l.weight[own]
+            some, back = np.unique(b[lo:hi], return_inverse=True)
+            size = r.size[some]
+            at = np.arange(size.sum()) + np.repeat(r_start[some] - np.cumsum(size) + size, size)
+            out[lo:hi] = np.bincount(np.repeat(np.arange(len(some)), size), weights=row[r.gram[at]] * r.weight[at], minlength=len(some))[back]
+            row[l.gram[own]] = 0.0
+        return np.clip(out, 0.0, 1.0)
+
+    return values
+
+
+def numbered(column: pa.ChunkedArray) -> tuple[np.ndarray, list[str]]:
+    """(number of each text, distinct texts) of a looked-up column."""
+    code = pa.chunked_array(column.chunks, pa.string()).combine_chunks().dictionary_encode()
+    return code.indices.to_numpy(), code.dictionary.to_pylist()
+
+
+def known_cosine(idf_table: DataFrame, n: int = 3):
+    """A measure for ``candidates.top`` by a fitted idf, which is broadcast; lookups have a lower-case ``text``."""
+    rows = idf_table.select("gram", "idf").toArrow()
+    sent = idf_table.sparkSession.sparkContext.broadcast((rows["gram"].to_pylist(), rows["idf"].to_numpy()))
+    place: dict[str, int] = {}
+
+    def measure(left: pa.Table, right: pa.Table):
+        if not place:
+            place.update((g, i) for i, g in enumerate(sent.value[0]))
+        (l_at, l), (r_at, r) = numbered(left["text"]), numbered(right["text"])
+        return _cosines(l_at, _Vectors(l, place, sent.value[1], n), r_at, _Vectors(r, place, sent.value[1], n), len(place))
+
+    return measure
 
 
 def cosine(idf_table: DataFrame, n: int = 3, most: int = 200_000):
