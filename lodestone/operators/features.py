@@ -94,13 +94,16 @@ class FeatureExtractor:
         return full.select(*PAIR, *(parts[c].alias(c) for c in FEATURES), *rest)
 
 
-    def in_blocks(self, blocker, queries: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-        """``of_sides`` of a blocker's pairs, computed where the pairs are found; ``left`` and ``right``: ``sides``, and ``truth`` for ``label``."""
+    def in_blocks(self, blocker, queries: DataFrame, left: DataFrame, right: DataFrame, own: tuple[str, ...] = ()) -> DataFrame:
+        """``of_sides`` of a blocker's pairs, computed where the pairs are found; ``left`` and ``right``: ``sides``, and ``truth`` for ``label``.
+
+        ``own``: columns of ``left`` to be shown, for which ``right`` has nulls.
+        """
         left, right = (x.withColumn("text", F.lower(F.trim("text"))) for x in (left, right))
-        full = blocker.sided_pairs(queries, left, right, self._measure(), ("num", "n", "unit"))
+        full = blocker.sided_pairs(queries, left, right, self._measure(), ("num", "n", "unit", *own))
         parts = {c: F.expr(x) for c, x in addresses.number_features("l_", "r_").items()}
         rest = [c for c in full.columns if c not in (*PAIR, *FEATURES) and not c.startswith(("l_", "r_"))]
-        return full.select(*PAIR, *(parts.get(c, F.col(c)).alias(c) for c in FEATURES), *rest)
+        return full.select(*PAIR, *(parts.get(c, F.col(c)).alias(c) for c in FEATURES), *rest, *(F.col(f"l_{c}").alias(c) for c in own))
 
     def _measure(self):
         cosine = tfidf.known_cosine(self.idf, self.ngram)

@@ -5,14 +5,11 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import metrics
+from lodestone.operators import boosting, metrics
 from lodestone.operators.features import FEATURES, PAIR
 
 DEFAULT_THRESHOLD = 0.90
@@ -34,52 +31,51 @@ class MatcherParams:
 
 @dataclass
 class Matcher:
-    model: PipelineModel
+    model: boosting.Trees
     columns: list[str]
     report: dict
 
     def score(self, matrix: DataFrame) -> DataFrame:
         """``matrix`` with ``prob``, the float probability of a match."""
-        out = self.model.transform(matrix).withColumn("prob", vector_to_array("probability")[1].cast("float"))
-        return out.drop("features", "rawPrediction", "probability", "prediction")
+        return self.model.score(matrix, self.columns)
 
     def importance(self) -> list[tuple[str, float, float]]:
         """(feature, importance, per cent), largest first."""
-        raw = self.model.stages[-1].featureImportances.toArray()
+        raw = self.model.importances()
         total = raw.sum() or 1.0
         return sorted(((c, float(v), 100 * float(v) / total) for c, v in zip(self.columns, raw)), key=lambda x: (-x[1], x[0]))
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
         spark = SparkSession.active()
-        spark.createDataFrame([(json.dumps({"columns": self.columns, "report": self.report}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/report")
+        for name, x in (("model", {"nodes": self.model.nodes, "shares": self.model.shares}), ("report", {"columns": self.columns, "report": self.report})):
+            spark.createDataFrame([(json.dumps(x),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
 
     @classmethod
     def load(cls, spark, path: str) -> Matcher:
-        own = json.loads(spark.read.text(f"{path}/report").first()[0])
-        return cls(PipelineModel.load(f"{path}/model"), own["columns"], own["report"])
+        model, own = (json.loads(spark.read.text(f"{path}/{name}").first()[0]) for name in ("model", "report"))
+        return cls(boosting.Trees(model["nodes"], model["shares"], len(own["columns"])), own["columns"], own["report"])
 
     def threshold(self, explicit: float | None = None) -> float:
         """An explicit threshold, else the tuned one, else the default."""
         return explicit if explicit is not None else self.report.get("optimal_threshold", DEFAULT_THRESHOLD)
 
 
-def train(matrix: DataFrame, split: DataFrame, params: MatcherParams = MatcherParams()) -> Matcher:
-    """``matrix`` has ``label``; ``split``: (entity_id, split) of the source-1 entities; ``val`` rows stop the boosting."""
-    own = split.select(F.col("entity_id").alias(PAIR[0]), (F.col("split") == "val").alias("is_val"))
+def train(matrix: DataFrame, split: DataFrame | None, params: MatcherParams = MatcherParams()) -> Matcher:
+    """``matrix`` has ``label``; ``split``: (entity_id, split) of the source-1 entities, or None where ``matrix`` has ``is_val``; ``val`` rows stop the boosting."""
     columns = [c for c in FEATURES if c in matrix.columns]
-    rows = matrix.join(own, PAIR[0]).withColumn("label", F.col("label").cast("double"))
+    rows = matrix
+    if split is not None:
+        own = split.select(F.col("entity_id").alias(PAIR[0]), (F.col("split") == "val").alias("is_val"))
+        rows = matrix.join(own, PAIR[0]).select(*columns, "label", "is_val").persist(StorageLevel.DISK_ONLY)
     balance = metrics.class_balance(rows.filter("not is_val")).first()
     weight = float(balance["scale_pos_weight"])
-    rows = rows.withColumn("weight", F.when(F.col("label") == 1, weight).otherwise(1.0))
-    gbt = GBTClassifier(
-        labelCol="label", featuresCol="features", weightCol="weight", maxIter=params.max_iter, maxDepth=params.max_depth, stepSize=params.step, minInstancesPerNode=params.min_rows,
-        subsamplingRate=params.row_share, featureSubsetStrategy=params.column_share, validationIndicatorCol="is_val", validationTol=params.tolerance, seed=params.seed,
-    )
-    model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), gbt]).fit(rows)
-    out = Matcher(model, columns, {"scale_pos_weight": weight, "iterations": model.stages[-1].getNumTrees})
-    val = out.score(rows.filter("is_val"))
+    model = boosting.train(rows, columns, "label", "is_val", weight, params, boosting.slots(rows, (balance["positives"] or 0) + (balance["negatives"] or 0)))[0]
+    out = Matcher(model, columns, {"scale_pos_weight": weight, "iterations": len(model.nodes)})
+    val = out.score(rows.filter("is_val").select(*columns, "label")).select("label", "prob").persist(StorageLevel.DISK_ONLY)
     out.report |= {"average_precision": metrics.average_precision(val, "prob").first()[0], "roc_auc": metrics.roc_auc(val, "prob").first()[0], **{k: float(v) for k, v in metrics.confusion(val, "prob").first().asDict().items()}}
+    val.unpersist()
+    if split is not None:
+        rows.unpersist()
     return out
 
 

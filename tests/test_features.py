@@ -97,9 +97,10 @@ def test_query_trains_the_full_schedule(spark, monkeypatch):
         raise Seen
 
     rows = spark.createDataFrame([("S1-1", "S2-1", 1)], f"{PAIRS}, label int")
+    records = spark.createDataFrame([("S1-1", 1, "US", "a"), ("S2-1", 2, "US", "a")], "entity_id string, src int, country string, truth string")
     monkeypatch.setattr(matcher, "train", train)
     monkeypatch.setattr(pairs, "matrix", lambda *_: rows)
-    monkeypatch.setattr(pairs, "entities", lambda *_: spark.createDataFrame([("S1-1", 1, "US", "a"), ("S2-1", 2, "US", "a")], "entity_id string, src int, country string, truth string"))
+    monkeypatch.setattr(pairs, "records", lambda *_: records)
     with pytest.raises(Seen):
         pairs.train_score(spark, "")
     assert seen == [matcher.MatcherParams()]
