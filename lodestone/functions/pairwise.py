@@ -20,13 +20,17 @@ JAVA_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
 class Letters:
-    """Texts as rows of letters, numbered from 1; 0 behind the end."""
+    """Texts as rows of letters, numbered from 1 in an alphabet; 0 behind the end."""
 
-    def __init__(self, texts: list[str]) -> None:
+    def __init__(self, texts: list[str], known: np.ndarray) -> None:
         self.size = np.array([len(t) for t in texts], np.int64)
-        flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.row = np.zeros((len(texts), max(1, self.size.max(initial=0))), np.uint32)
-        self.row[np.arange(self.row.shape[1]) < self.size[:, None]] = flat + 1
+        self.row[np.arange(self.row.shape[1]) < self.size[:, None]] = np.searchsorted(known, points(texts)) + 1
+        self.letters = len(known) + 1
+
+
+def points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def _low(n: np.ndarray, words: int) -> list[np.ndarray]:
@@ -57,18 +61,13 @@ class Steps:
     def __init__(self, pattern: Letters, p: np.ndarray, text: Letters, t: np.ndarray, words: int) -> None:
         self.words, self.text_size = words, text.size[t]
         (own, p), (used, t) = (np.unique(x, return_inverse=True) for x in (p, t))
-        rows, texts = pattern.row[own], text.row[used]
-        known = np.unique(rows)
-        known = known[known > 0]
-        at = np.searchsorted(known, rows)
-        table = np.zeros((words, len(own) * (len(known) + 1)), np.uint64)
-        for j in range(min(rows.shape[1], int(pattern.size[own].max(initial=0)))):
+        rows, n = pattern.row[own], pattern.letters
+        table = np.zeros((words, len(own) * n), np.uint64)
+        for j in range(int(pattern.size[own].max(initial=0))):
             some = np.flatnonzero(rows[:, j])
-            table[j // 64][some * (len(known) + 1) + at[some, j] + 1] |= _ONE << np.uint64(j % 64)
-        spot = np.minimum(np.searchsorted(known, texts), max(len(known) - 1, 0))
-        spot = np.where(known[spot] == texts, spot + 1, 0) if len(known) else np.zeros_like(spot)
-        self.table, self.base, self.t = table, p * (len(known) + 1), t
-        self.spot = np.ascontiguousarray(spot.T)
+            table[j // 64][some * n + rows[some, j]] |= _ONE << np.uint64(j % 64)
+        self.table, self.base, self.t = table, p * n, t
+        self.spot = np.ascontiguousarray(text.row[used, : int(self.text_size.max(initial=0))].T)
         self.active = np.searchsorted(-self.text_size, -np.arange(1, int(self.text_size.max(initial=0)) + 1), side="right")
 
     def __iter__(self) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -87,7 +86,7 @@ def _parts(pattern: Letters, p: np.ndarray, text: Letters, t: np.ndarray) -> Ite
         while todo:
             some = todo.pop()
             rows = np.unique(p[some])
-            if len(some) > 1 and len(rows) > 1 and len(rows) * len(np.unique(pattern.row[rows])) * w > TABLE:
+            if len(some) > 1 and len(rows) > 1 and len(rows) * pattern.letters * w > TABLE:
                 some = some[np.argsort(p[some], kind="stable")]
                 todo += [some[: len(some) // 2], some[len(some) // 2 :]]
                 continue
@@ -182,11 +181,11 @@ def jaro_winkler(a: Letters, l: np.ndarray, b: Letters, r: np.ndarray) -> np.nda
 class Words:
     """The distinct words of texts in order, joined by a space: numbers, sizes and the letters of each."""
 
-    def __init__(self, texts: list[str], number: dict[str, int]) -> None:
+    def __init__(self, texts: list[str], known: np.ndarray, number: dict[str, int]) -> None:
         words = [sorted(set(t.split())) for t in texts]
         self.n = np.array([len(w) for w in words], np.int64)
         most = max(1, self.n.max(initial=0))
-        self.letters = Letters([" ".join(w) for w in words])
+        self.letters = Letters([" ".join(w) for w in words], known)
         self.code, self.size = np.full((len(texts), most), -1, np.int64), np.zeros((len(texts), most), np.int64)
         for i, w in enumerate(words):
             self.code[i, : len(w)] = [number.setdefault(x, len(number)) for x in w]
@@ -249,11 +248,12 @@ def similarities(left: list[str], l: np.ndarray, right: list[str], r: np.ndarray
     """
     place = {t: i for i, t in enumerate(left)}
     twin = np.array([place.get(t, -1) for t in right], np.int64)
-    a, b = Letters(left), Letters(right)
-    in_order = lambda texts: Letters([" ".join(sorted(w for w in JAVA_SPACE.split(t) if w)) for t in texts])
+    known = np.unique(np.concatenate([points(left), points(right), points([" "])]))
+    a, b = Letters(left, known), Letters(right, known)
+    in_order = lambda texts: Letters([" ".join(sorted(w for w in JAVA_SPACE.split(t) if w)) for t in texts], known)
     sa, sb = in_order(left), in_order(right)
     number: dict[str, int] = {}
-    wa, wb = Words(left, number), Words(right, number)
+    wa, wb = Words(left, known, number), Words(right, known, number)
 
     def values(p: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
         x, y = l[p], r[q]
